@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumberline.llm.event_runs import event_runs
+from lumberline.llm.packing import pack
+from lumberline.llm.shared_spans import shared_spans
+from lumberline.llm.tokens import count_tokens, encode
+from lumberline.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +27,21 @@ def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_runs(table(spark, sf_dir, "log_index"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_runs": p5_runs}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a container of each kind."""
+    counts = cut(spark, count_tokens(table(spark, sf_dir, "documents")), "pack-counts")
+    return pack(counts, table(spark, sf_dir, "pack_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document also occurs in another, in spans of at least 200 code points."""
+    return shared_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
