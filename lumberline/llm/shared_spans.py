@@ -5,12 +5,15 @@ what it stands for, so every task gives equal strings equal names without exchan
 symbols into those that may begin a pair and those that may end one is a bit of the name.  Along with each symbol goes
 the part of the text that decided it (``lo``, ``hi``): equal text there gives the same symbol in any document.
 
-1. Of each stretch of ``WIDTH`` neighbouring symbols the smallest name stands for all windows (of ``span`` code
-   points) that hold everything that decided the stretch.  A window that holds no whole stretch stands for itself.
+1. ``GRAM`` neighbouring symbols together get a name, and of each stretch of ``WIDTH`` such names the smallest stands
+   for all windows (of ``span`` code points) that hold everything that decided the stretch.  A window that holds no
+   whole stretch stands for itself.
 2. In Spark, the names are counted by document: one that no other document has rules its windows out.
-3. Only windows under a name that is shared get an exact name, their own hash, and count as shared if another document
-   has it.  They travel as arrays, one row for each run of windows under a name; rows of copies are merged before any
-   exchange, so a passage in a third of all documents is as cheap as one in two of them.
+3. In the texts that are left, each run of windows under a shared name gets a signature of all its windows.  If another
+   document has it, too, the whole run is shared.  Rows are merged by signature before any exchange, so a passage in a
+   third of all documents is as cheap as one in two of them.
+4. What is left are the ends of shared passages: for one document of each signature that stands alone under a name with
+   several signatures, the windows themselves are compared by their hashes.
 
 Every window is decided by equality of hashes over all its code points; nothing depends on the names but the work.
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +34,11 @@ from pyspark.sql import functions as F
 from lumberline.session import cut
 
 SPAN = 200
-ROUNDS = 6
-#: Symbols of a stretch.
-WIDTH = 12
+ROUNDS = 5
+#: Symbols that get a name together, and such names in a stretch.
+GRAM, WIDTH = 15, 16
+#: Bits of the filters that keep most rows that can't match out of an exchange; they bound what is broadcast (2 MB).
+FILTER_BITS = 1 << 24
 #: Code points that a worker handles at once (a longer text is handled by itself).
 CHUNK = 1 << 19
 
@@ -105,11 +111,14 @@ def recompress(points: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> tu
     return names, lo, hi
 
 
-def stretch_names(names: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """The smallest of each ``width`` neighbouring names."""
-    out, have = names, 1
-    while have < width:
-        step = min(have, width - have)
+def stretch_names(names: np.ndarray) -> np.ndarray:
+    """The smallest of each ``WIDTH`` neighbouring names of ``GRAM`` symbols."""
+    up, down = powers(len(names) + 1)
+    c = np.zeros(len(names) + 1, np.uint64)
+    np.cumsum(names * up[: len(names)], out=c[1:])
+    out, have = _mix((c[GRAM:] - c[:-GRAM]) * down[: len(names) - GRAM + 1]), 1
+    while have < WIDTH:
+        step = min(have, WIDTH - have)
         out = np.minimum(out[:-step], out[step:])
         have += step
     return out
@@ -130,9 +139,9 @@ class Batch:
         self.points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(self.points)
         names, lo, hi = recompress(self.points, self.ends)
-        if len(names) >= WIDTH:
+        if len(names) >= GRAM + WIDTH - 1:
             name = stretch_names(names)
-            a, b = lo[: len(name)].astype(np.int64), hi[WIDTH - 1 :].astype(np.int64)
+            a, b = lo[: len(name)].astype(np.int64), hi[GRAM + WIDTH - 2 :].astype(np.int64)
             doc = np.minimum(np.searchsorted(self.ends, a, side="right"), len(texts) - 1)
             i0 = np.maximum(np.maximum(np.concatenate([[-1], a[:-1]]) + 1, b - span), self.begins[doc])
             i1 = np.minimum(a, self.ends[doc] - span)
@@ -211,44 +220,92 @@ def document_names(documents: DataFrame, span: int = SPAN) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, names array<bigint>")
 
 
+def _member(values: np.ndarray, of: pa.Scalar) -> np.ndarray:
+    """Which of the names are in a list of names."""
+    some = np.sort(np.asarray(of.values, dtype=np.int64).view(np.uint64))
+    if not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def _runs_of(texts: pa.Array, wanted: pa.Array, span: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """Of each text the runs of windows under a wanted name: text, name, start, signature, the windows' hashes."""
+    py = texts.to_pylist()
+    for group in _chunks(py, span):
+        x = Batch([py[i] for i in group], span)
+        under = x.by_window()
+        for k, i in enumerate(group.tolist()):
+            lo, hi = int(x.begins[k]), int(x.ends[k])
+            names = under[lo : hi - span + 1]
+            heads = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+            tails = np.append(heads[1:], len(names))
+            hit = np.flatnonzero(_member(names[heads], wanted[i]))
+            if not len(hit):
+                continue
+            hashes = window_hashes(x.points[lo:hi], span)
+            up, down = powers(len(hashes) + 1)
+            c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
+            h, t = heads[hit], tails[hit]
+            sig = _mix((c[t] - c[h]) * down[h] + (t - h).astype(np.uint64)).view(np.int64)
+            for name, start, end, g in zip(names[h].view(np.int64).tolist(), h.tolist(), t.tolist(), sig.tolist(), strict=True):
+                yield i, name, start, g, hashes[start:end]
+
+
 def window_runs(documents: DataFrame, span: int = SPAN) -> DataFrame:
-    """``doc_id, name, start, sig, hashes`` of each run of windows under a shared name.
+    """``doc_id, name, sig, start, n``: the runs of ``n`` windows under a name that is in the list ``wanted``."""
 
-    ``documents`` has ``doc_id, text, shared``; ``shared`` is the list of the text's names that another document has.
-    """
+    def run(batches):
+        for b in batches:
+            rows = [(i, name, g, start, len(w)) for i, name, start, g, w in _runs_of(b.column(1), b.column(2), span)]
+            if rows:
+                i, *rest = zip(*rows, strict=True)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), *(pa.array(v, k) for v, k in zip(rest, kinds, strict=True))], names=["doc_id", "name", "sig", "start", "n"])
+
+    d = documents.select("doc_id", "text", "wanted")
+    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, name bigint, sig bigint, start int, n int")
+
+
+def run_windows(documents: DataFrame, span: int = SPAN) -> DataFrame:
+    """``name, sig, hashes``: the windows' hashes of the runs under a wanted name, a signature of a text once."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for group in _chunks(texts, span):
-                x = Batch([texts[i] for i in group], span)
-                under = x.by_window()
-                out: list[tuple] = []
-                shared = b.column(2).take(pa.array(group))
-                for k, i in enumerate(group.tolist()):
-                    lo, hi = int(x.begins[k]), int(x.ends[k])
-                    names = under[lo : hi - span + 1]
-                    mine = np.sort(np.asarray(shared[k].values, dtype=np.int64).view(np.uint64))
-                    hit = mine[np.minimum(np.searchsorted(mine, names), len(mine) - 1)] == names
-                    if not hit.any():
-                        continue
-                    hashes = window_hashes(x.points[lo:hi], span)
-                    edge = np.ones(len(names), bool)
-                    edge[1:] = names[1:] != names[:-1]
-                    heads = np.flatnonzero(edge)
-                    tails = np.append(heads[1:], len(names))
-                    for h, t in zip(heads[hit[heads]].tolist(), tails[hit[heads]].tolist(), strict=True):
-                        w = hashes[h:t]
-                        sig = int(_mix(np.array([(w * (_B + np.uint64(2) * np.arange(t - h, dtype=np.uint64))).sum() + np.uint64(t - h)], np.uint64)).view(np.int64)[0])
-                        out.append((i, int(names[h : h + 1].view(np.int64)[0]), h, sig, w.view(np.int64)))
-                if out:
-                    i, name, start, sig, w = zip(*out, strict=True)
-                    sizes = np.fromiter(map(len, w), np.int64, len(w))
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(w), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array(name, pa.int64()), pa.array(start, pa.int32()), pa.array(sig, pa.int64()), lists], names=["doc_id", "name", "start", "sig", "hashes"])
-
-    d = documents.select("doc_id", "text", "shared")
-    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, name bigint, start int, sig bigint, hashes array<bigint>")
+            rows = {(i, name, g): w for i, name, _, g, w in _runs_of(b.column(1), b.column(2), span)}
+            if rows:
+                sizes = np.fromiter(map(len, rows.values()), np.int64, len(rows))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), _signed(np.concatenate(list(rows.values()))))
+                yield pa.RecordBatch.from_arrays([pa.array([k[1] for k in rows], pa.int64()), pa.array([k[2] for k in rows], pa.int64()), lists], names=["name", "sig", "hashes"])
+
+    return documents.select("doc_id", "text", "wanted").mapInArrow(run, "name bigint, sig bigint, hashes array<bigint>")
+
+
+def _bit(h):
+    return F.pmod(F.xxhash64(h), F.lit(FILTER_BITS))
+
+
+def filter_bits(values: DataFrame, column: str) -> np.ndarray:
+    """A filter of ``FILTER_BITS`` bits that holds every value of the column, and others by chance.
+
+    Its size is fixed: with more values than bits it lets everything pass, which costs time but no result.
+    """
+    bit = values.select(_bit(F.col(column)).alias("b"))
+    words = bit.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy()
+    return out
+
+
+def passing(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    """The rows whose value may be in the filter."""
+    held = df.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def hit(b: pd.Series) -> pd.Series:
+        x = b.to_numpy(np.int64)
+        return pd.Series((held.value[x >> 6] >> (x & 63)) & 1 == 1)
+
+    return df.where(hit(_bit(F.col(column))))
 
 
 def shared_windows(documents: DataFrame, span: int = SPAN) -> DataFrame:
@@ -257,19 +314,25 @@ def shared_windows(documents: DataFrame, span: int = SPAN) -> DataFrame:
     docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     names = cut(spark, document_names(docs, span), "spans-names").select("doc_id", F.explode("names").alias("name"))
     common = names.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where(F.col("a") != F.col("b")).select("name")
-    mine = names.join(common, "name").groupBy("doc_id").agg(F.collect_set("name").alias("shared"))
-    runs = cut(spark, window_runs(docs.join(mine, "doc_id"), span), "spans-runs")
-    kinds = runs.groupBy("name", "sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.any_value("hashes").alias("hashes"))
-    kinds = cut(spark, kinds, "spans-kinds")
-    # Rows that another document has as a whole are decided; the others window by window.
-    windows = kinds.select("name", "sig", "a", "b", F.posexplode("hashes").alias("pos", "h"))
-    ends = windows.groupBy("h").agg(F.min("a").alias("a"), F.max("b").alias("b")).where(F.col("a") != F.col("b")).select("h")
-    open_rows = windows.where(F.col("a") == F.col("b")).join(ends, "h", "left_semi").select("name", "sig", "pos")
-    at = open_rows.groupBy("name", "sig").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    common = cut(spark, common, "spans-common")
+    mine = passing(names, "name", filter_bits(common, "name")).join(common, "name")
+    mine = cut(spark, mine.groupBy("doc_id").agg(F.collect_set("name").alias("wanted")), "spans-wanted")
+    some = cut(spark, passing(docs, "doc_id", filter_bits(mine, "doc_id")).join(mine, "doc_id"), "spans-texts")
+    runs = cut(spark, window_runs(some, span), "spans-runs")
+    kinds = cut(spark, runs.groupBy("name", "sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")), "spans-kinds")
     whole = kinds.where(F.col("a") != F.col("b")).select("name", "sig")
-    closed = runs.select("doc_id", "name", "sig", "start", F.size("hashes").alias("n"))
-    out = closed.join(whole, ["name", "sig"], "left_semi").select("doc_id", "start", F.col("n").alias("length"))
-    part = closed.join(at, ["name", "sig"]).select("doc_id", "start", F.explode("at").alias("pos"))
+    out = runs.join(whole, ["name", "sig"], "left_semi").select("doc_id", "start", F.col("n").alias("length"))
+    # The ends: signatures of one document under a name that has others.
+    mixed = kinds.groupBy("name").agg(F.count("*").alias("k"), F.bool_or(F.col("a") == F.col("b")).alias("lone")).where((F.col("k") > 1) & F.col("lone")).select("name")
+    ends = kinds.join(mixed, "name")
+    asked = ends.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("name").alias("wanted"))
+    windows = run_windows(some.drop("wanted").join(asked, "doc_id"), span)
+    windows = windows.join(ends, ["name", "sig"]).groupBy("name", "sig", "a", "b").agg(F.any_value("hashes").alias("hashes"))
+    windows = cut(spark, windows, "spans-windows").select("name", "sig", "a", "b", F.posexplode("hashes").alias("pos", "h"))
+    found = windows.groupBy("h").agg(F.min("a").alias("a"), F.max("b").alias("b")).where(F.col("a") != F.col("b")).select("h")
+    at = windows.where(F.col("a") == F.col("b")).join(found, "h", "left_semi")
+    at = at.groupBy("name", "sig").agg(F.collect_list("pos").alias("at"))
+    part = runs.join(at, ["name", "sig"]).select("doc_id", "start", F.explode("at").alias("pos"))
     return out.unionByName(part.select("doc_id", (F.col("start") + F.col("pos")).alias("start"), F.lit(1).alias("length")))
 
 
