@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumberline.llm.event_runs import event_runs
+from lumberline.llm.mojibake import garbled
 from lumberline.llm.packing import pack
 from lumberline.llm.shared_spans import shared_spans
 from lumberline.llm.tokens import count_tokens, encode
@@ -16,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records with characters that a wrong decoding produced."""
+    return p2_restored(spark, sf_dir).select("record_kind", "record_id")
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled records, each with its original text where that can still be had."""
+    return garbled(table(spark, sf_dir, "log_index"), table(spark, sf_dir, "files"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each longest run of two or more alike entries."""
     runs = event_runs(table(spark, sf_dir, "log_index")).where(F.col("n_events") >= 2)
@@ -43,5 +54,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
