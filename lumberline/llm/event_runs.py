@@ -24,16 +24,23 @@ from lumberline.session import cut
 #: Tables of one row for each block of a long file are broadcast up to so many rows (under 20 MB), joined beyond.
 BROADCAST_ROWS = 50_000
 
-_WS = "\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: White space, or a whole blank-separated token with an ASCII digit (looked for at token starts only: linear time).
-SET_ASIDE = f"(?<![^{_WS}])[^{_WS}0-9]*+[0-9][^{_WS}]*+|[{_WS}]++"
+_ASCII_WS = "\\t-\\r\\x1c-\\x20"
+_WS = _ASCII_WS + "\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+def _set_aside(ws: str) -> str:
+    """White space, a token without a digit (group 1, which stays), or any other token: one step for each, linear."""
+    return f"[{ws}]++|([^{ws}0-9]++)(?![^{ws}])|[^{ws}]++"
+
 
 _FB = ("file_path", "blk")
 
 
 def message_core(message: Column) -> Column:
     """The message without white space and without tokens that hold a digit."""
-    return F.regexp_replace(F.coalesce(message, F.lit("")), SET_ASIDE, "")
+    m = F.coalesce(message, F.lit(""))
+    wide = F.regexp_replace(m, _set_aside(_WS), "$1")
+    return F.when(F.length(m) == F.octet_length(m), F.regexp_replace(m, _set_aside(_ASCII_WS), "$1")).otherwise(wide)
 
 
 def _keyed(lines: DataFrame) -> DataFrame:
