@@ -3,18 +3,96 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lumberline.operators import compaction, hierarchy
 from lumberline.operators.log_entries import log_entries
+from lumberline.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.hierarchy(table(spark, sf_dir, "archives"), table(spark, sf_dir, "files"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives and files whose chain of parents or depth is wrong."""
+    return hierarchy.findings(_nodes(spark, sf_dir))
+
+
+def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every archive and file with its path, true depth, root, range and number of descendants."""
+    return _nodes(spark, sf_dir)
+
+
+def p1_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State, depth, root and number of descendants of each archive."""
+    n = _nodes(spark, sf_dir).where(F.col("node_kind") == "archive")
+    return n.where(F.col("state") == "tree").select("node_id", F.col("depth").cast("bigint").alias("depth"), "root_id", F.col("n_descendants").cast("bigint").alias("n_descendants"), "path")
+
+
+def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All archives and files below each archive, with their distance."""
+    return hierarchy.descendants(cut(spark, _nodes(spark, sf_dir), "nodes"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct content to be merged, out of the consolidated files."""
+    return compaction.consolidate(table(spark, sf_dir, "files")).select("file_id")
+
+
+def p3_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content each path of a merged content leads to."""
+    files = table(spark, sf_dir, "files")
+    return compaction.trace(files, compaction.consolidate(files)).drop("container")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every log entry with its lines, time, level and component."""
     return log_entries(table(spark, sf_dir, "log_index"), table(spark, sf_dir, "files")).drop("message")
 
 
-QUERIES = {"p4_found": p4_found}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_depths, p1_descendants, p3_found, p3_trace, p4_found)}
+
+_ARCHIVES = "a AS (SELECT id, max(parent_archive_id) AS parent, max(depth_level) AS depth_level, max(original_name) AS name FROM archives WHERE id IS NOT NULL GROUP BY id)"
+_REACH = f"{_ARCHIVES}, reach(id, up) AS (SELECT id, parent FROM a WHERE parent IS NOT NULL UNION SELECT r.id, a.parent FROM reach r JOIN a ON a.id = r.up WHERE a.parent IS NOT NULL)"
+_FILES = "f AS (SELECT id, max(parent_archive_id) AS parent, max(depth_level) AS depth_level FROM files WHERE id IS NOT NULL GROUP BY id)"
+_STATE = """ring AS (SELECT id FROM reach WHERE id = up),
+state AS (
+  SELECT a.id, a.depth_level,
+    CASE WHEN a.id IN (SELECT id FROM ring) THEN 'cycle' WHEN EXISTS (SELECT 1 FROM reach r WHERE r.id = a.id AND r.up IN (SELECT id FROM ring)) THEN 'under_cycle'
+         WHEN EXISTS (SELECT 1 FROM reach r WHERE r.id = a.id AND r.up NOT IN (SELECT id FROM a)) THEN 'orphan' ELSE 'tree' END AS state,
+    (SELECT count(*) FROM reach r WHERE r.id = a.id) AS depth,
+    (SELECT min(r.up) FROM reach r WHERE r.id = a.id AND r.up IN (SELECT id FROM ring)) AS ring_root,
+    (SELECT max(r.up) FROM reach r WHERE r.id = a.id AND r.up NOT IN (SELECT id FROM a)) AS lost,
+    coalesce((SELECT max(r.up) FROM reach r JOIN a t ON t.id = r.up AND t.parent IS NULL WHERE r.id = a.id), a.id) AS top
+  FROM a)"""
+_DIGEST = "regexp_replace(regexp_replace(lower(sha256_hash), '^[^0-9a-z]*(sha-?_?256)?[^0-9a-z]*(0x)?', ''), '[^0-9a-z]', '', 'g')"
+_CONTENTS = f"SELECT {_DIGEST} AS digest, min(id) AS file_id FROM files WHERE id IS NOT NULL AND sha256_hash IS NOT NULL AND {_DIGEST} <> '' GROUP BY 1 HAVING count(CASE WHEN size BETWEEN 1 AND 65535 THEN 1 END) > 0"
+ORACLE = {
+    "p1_found": f"""WITH RECURSIVE {_REACH}, {_FILES}, {_STATE},
+every AS (
+  SELECT 'archive' AS node_kind, id AS node_id, state, depth_level, depth, CASE state WHEN 'orphan' THEN lost WHEN 'tree' THEN top ELSE ring_root END AS root_id FROM state
+  UNION ALL
+  SELECT 'file', f.id, CASE WHEN f.parent IS NULL THEN 'tree' WHEN s.id IS NULL THEN 'orphan' WHEN s.state = 'cycle' THEN 'under_cycle' ELSE s.state END, f.depth_level,
+    CASE WHEN f.parent IS NULL THEN 0 ELSE s.depth + 1 END,
+    CASE WHEN f.parent IS NULL THEN NULL WHEN s.id IS NULL THEN f.parent WHEN s.state = 'orphan' THEN s.lost WHEN s.state = 'tree' THEN s.top ELSE s.ring_root END
+  FROM f LEFT JOIN state s ON s.id = f.parent)
+SELECT node_kind, node_id, CASE WHEN state <> 'tree' THEN state ELSE 'depth' END AS finding, root_id FROM every WHERE state <> 'tree' OR (depth_level IS NOT NULL AND depth_level <> depth)""",
+    "p1_depths": f"""WITH RECURSIVE {_REACH}, {_FILES}, {_STATE},
+walk(id, depth, root_id, path) AS (SELECT id, CAST(0 AS BIGINT), id, '/' || coalesce(name, '#' || id) FROM a WHERE parent IS NULL UNION ALL SELECT a.id, w.depth + 1, w.root_id, w.path || '/' || coalesce(a.name, '#' || a.id) FROM walk w JOIN a ON a.parent = w.id),
+up AS (SELECT id AS node, id AS over FROM a UNION ALL SELECT id, up FROM reach),
+below AS (SELECT u.over AS id, count(*) AS n FROM up u JOIN f ON f.parent = u.node GROUP BY 1),
+under AS (SELECT up AS id, count(*) AS n FROM reach GROUP BY 1)
+SELECT w.id AS node_id, w.depth, w.root_id, coalesce(b.n, 0) + coalesce(u.n, 0) AS n_descendants, w.path FROM walk w LEFT JOIN below b ON b.id = w.id LEFT JOIN under u ON u.id = w.id""",
+    "p1_descendants": f"""WITH RECURSIVE {_REACH}, {_FILES}, {_STATE},
+pairs(anc, id, distance) AS (SELECT parent, id, CAST(1 AS BIGINT) FROM a WHERE parent IN (SELECT id FROM state WHERE state IN ('tree', 'orphan')) UNION ALL SELECT p.anc, a.id, p.distance + 1 FROM pairs p JOIN a ON a.parent = p.id)
+SELECT anc AS ancestor_id, 'archive' AS node_kind, id AS node_id, distance FROM pairs
+UNION ALL SELECT f.parent, 'file', f.id, 1 FROM f JOIN state s ON s.id = f.parent AND s.state IN ('tree', 'orphan')
+UNION ALL SELECT p.anc, 'file', f.id, p.distance + 1 FROM pairs p JOIN f ON f.parent = p.id""",
+    "p3_found": f"SELECT file_id FROM ({_CONTENTS})",
+    "p3_trace": f"WITH c AS ({_CONTENTS}), f AS (SELECT DISTINCT id AS file_id, virtual_path, {_DIGEST} AS digest FROM files WHERE id IS NOT NULL AND sha256_hash IS NOT NULL) SELECT f.digest, f.file_id, f.virtual_path, c.file_id AS content_id FROM f JOIN c ON c.digest = f.digest",
+}

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: A side of a join below this many bytes (by the optimizer's or a counted size) may be broadcast.
 BROADCAST_BYTES = 8 << 20
@@ -48,6 +49,13 @@ def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def cut_counting(spark: SparkSession, df: DataFrame, name: str, what: Column) -> tuple[DataFrame, int]:
+    """``cut``, and how many of the rows ``what`` holds for, counted on the way."""
+    seen = Observation()
+    out = cut(spark, df.observe(seen, F.count(F.when(what, 1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
