@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumberline.functions.columns import once
+
 BLOCK_BITS = 16
 BLOCK = 1 << BLOCK_BITS
 _SEP = "\x01"
@@ -103,14 +105,6 @@ _SECOND = "(?s)^(SEVERE|WARNING|INFO|CONFIG|FINEST|FINER|FINE): (.*)$"
 _JSON_SCHEMA = "ts string, `@timestamp` string, time string, timestamp string, level string, severity string, logger string, component string, module string, msg string, message string"
 
 
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``df`` with ``value`` as a column that is computed a single time.
-
-    A plain column would be inlined into each of its uses by the optimizer; a generator with one element is not.
-    """
-    return df.select("*", F.explode(F.array(F.struct(value.alias("v")))).alias("_once")).withColumn(name, F.col("_once.v")).drop("_once")
-
-
 def level_name(token: Column) -> Column:
     """The level a word, number or letter stands for; null if it stands for none."""
     t, out = F.lower(F.trim(token)), None
