@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumberline.operators import compaction, hierarchy
 from lumberline.operators.log_entries import log_entries
-from lumberline.session import cut
+from lumberline.session import cut, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +52,8 @@ def p3_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every log entry with its lines, time, level and component."""
-    return log_entries(table(spark, sf_dir, "log_index"), table(spark, sf_dir, "files")).drop("message")
+    log = table(spark, sf_dir, "log_index").select("file_path", "line_number", "content")
+    return log_entries(spread(log), table(spark, sf_dir, "files")).drop("message")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_depths, p1_descendants, p3_found, p3_trace, p4_found)}

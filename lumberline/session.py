@@ -49,6 +49,15 @@ def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is read in far fewer partitions than there are (a small table in one file).
+
+    Inputs with about as many splits as cores, as any large one has, are left as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() < cores else df
+
+
 def cut_counting(spark: SparkSession, df: DataFrame, name: str, what: Column) -> tuple[DataFrame, int]:
     """``cut``, and how many of the rows ``what`` holds for, counted on the way."""
     seen = Observation()
