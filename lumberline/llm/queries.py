@@ -10,13 +10,17 @@ from lumberline.llm.mojibake import garbled
 from lumberline.llm.packing import pack
 from lumberline.llm.shared_spans import shared_spans
 from lumberline.llm.tokens import count_tokens, encode
-from lumberline.session import cut
+from lumberline.session import cut, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "log_index").select("file_path", "line_number", "content")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records with characters that a wrong decoding produced."""
     return p2_restored(spark, sf_dir).select("record_kind", "record_id")
@@ -29,29 +33,29 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each longest run of two or more alike entries."""
-    runs = event_runs(table(spark, sf_dir, "log_index")).where(F.col("n_events") >= 2)
+    runs = event_runs(spread(_log(spark, sf_dir))).where(F.col("n_events") >= 2)
     return runs.select("file_path", "first_line", "last_line", "n_events")
 
 
 def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log with every run collapsed to one event: its count and duration."""
-    return event_runs(table(spark, sf_dir, "log_index"))
+    return event_runs(spread(_log(spark, sf_dir)))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
-    return encode(table(spark, sf_dir, "documents"))
+    return encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in a container of each kind."""
-    counts = cut(spark, count_tokens(table(spark, sf_dir, "documents")), "pack-counts")
+    counts = cut(spark, count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "pack-counts")
     return pack(counts, table(spark, sf_dir, "pack_targets"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document also occurs in another, in spans of at least 200 code points."""
-    return shared_spans(table(spark, sf_dir, "documents"))
+    return shared_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}
