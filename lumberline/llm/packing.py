@@ -1,10 +1,9 @@
 """Documents into containers of fixed capacity, with balanced cost and little unused space.
 
 The cost of a document of n tokens in a container of capacity c is ``n + n * n / c``: a linear part and the quadratic
-part of attention.  Documents, longest first, go to the container of lowest cost that still has room; the number of
-containers opened at once is what the tokens need when filled to the brim, so the balance also fills them evenly, and a
-container is added only when a document fits in none.  A document longer than the capacity is the only kind that is
-cut: into full containers of its own and a rest that is packed like any other document.
+part of attention.  Documents, longest first, go to the container of lowest cost that still has room, out of those a
+pass has opened; what fits in none of them goes to the next pass.  A document longer than the capacity is the only kind
+that is cut: into full containers of its own and a rest that is packed like any other document.
 
 Packing is local to shards.  A shard is a pseudo-random set of documents that fills about ``SHARD_CONTAINERS``
 containers, whatever the size of the corpus, so a task's group has a bound and the space lost at a shard's end is a
@@ -17,6 +16,7 @@ no other document they share one; repeated rows of a document count once; an emp
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -26,34 +26,45 @@ from pyspark.sql import functions as F
 #: Containers, and documents, that a shard has about.
 SHARD_CONTAINERS = 2048
 SHARD_DOCUMENTS = 100_000
+#: Share of the containers that what is left needs which a pass opens.
+OPEN_SHARE = 0.1
 
 
 def pack_shard(tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Container and start of each item (all of at most ``capacity`` tokens); items must be in descending order."""
+    """Container and start of each item (all of at most ``capacity`` tokens); items must be in descending order.
+
+    Passes over what is left open ``OPEN_SHARE`` of the containers it needs; an item that fits in none of them waits
+    for the next pass, so the small items of a pass fill what its large ones left.  Containers too full for the item
+    at hand are parked by their room and come back for the first item that fits: each step costs a logarithm.
+    """
     n = len(tokens)
     box, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    total = int(tokens.sum())
-    used: list[int] = [0] * max(1, -(-total // capacity))
-    heap: list[tuple[float, int]] = [(0.0, k) for k in range(len(used))]
-    sizes = tokens.tolist()
-    smallest = sizes[-1] if n else 0
-    for i, t in enumerate(sizes):
-        aside = []
-        while heap and used[heap[0][1]] + t > capacity:
-            top = heapq.heappop(heap)
-            if used[top[1]] + smallest <= capacity:
-                aside.append(top)
-        if heap:
-            cost, k = heap[0]
-            heapq.heapreplace(heap, (cost + t + t * t / capacity, k))
-        else:
-            k = len(used)
-            used.append(0)
-            heapq.heappush(heap, (t + t * t / capacity, k))
-        for x in aside:
-            heapq.heappush(heap, x)
-        box[i], start[i] = k, used[k]
-        used[k] += t
+    sizes, todo, opened = tokens.tolist(), list(range(n)), 0
+    while todo:
+        total = sum(sizes[i] for i in todo)
+        k = max(1, math.ceil(total / capacity * OPEN_SHARE))
+        used, cost = [0] * k, [0.0] * k
+        heap: list[tuple[float, int]] = [(0.0, b) for b in range(k)]
+        parked: list[tuple[int, int]] = []
+        left = []
+        for i in todo:
+            t = sizes[i]
+            while parked and -parked[0][0] >= t:
+                b = heapq.heappop(parked)[1]
+                heapq.heappush(heap, (cost[b], b))
+            while heap and used[heap[0][1]] + t > capacity:
+                b = heapq.heappop(heap)[1]
+                heapq.heappush(parked, (used[b] - capacity, b))
+            if not heap:
+                left.append(i)
+                continue
+            b = heap[0][1]
+            box[i], start[i] = opened + b, used[b]
+            used[b] += t
+            cost[b] += t + t * t / capacity
+            heapq.heapreplace(heap, (cost[b], b))
+        opened += k
+        todo = left
     return box, start
 
 
