@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumberline.functions.columns import once
+from lumberline.session import cut
 
 BLOCK_BITS = 16
 BLOCK = 1 << BLOCK_BITS
@@ -257,3 +258,25 @@ def log_entries(lines: DataFrame, files: DataFrame) -> DataFrame:
     d = d.join(block_table(lines, files), ["file_path", "blk"], "left")
     last = F.coalesce(F.col("_next") - 1, F.col("next_head") - 1, F.col("max_line"))
     return d.select("file_path", F.col("line_number").alias("first_line"), last.alias("last_line"), _timed(d).alias("ts_ms"), "level", "component", "message")
+
+
+def entry_messages(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """``log_entries`` with the whole message: the header's and its continuation lines, joined by newlines.
+
+    A line finds its header in its block by a running maximum.  An entry that reaches into later blocks leaves a marker
+    at the start of each, so no block waits for another.  A message is as long as its entry.
+    """
+    entries = cut(lines.sparkSession, log_entries(lines, files), "entries")
+    last, first = F.shiftright("last_line", BLOCK_BITS), F.shiftright("first_line", BLOCK_BITS)
+    marks = entries.where(last > first).select("file_path", F.explode(F.sequence(first + 1, last)).alias("blk"), F.col("first_line").alias("_h"))
+    marks = marks.select("file_path", "blk", (F.shiftleft("blk", BLOCK_BITS) - 1).alias("line_number"), "_h", F.lit(None).cast("string").alias("text"), F.lit(True).alias("_mark"))
+    d = parse_lines(lines)
+    text = F.when(is_head(F.col("layout")), F.when(F.col("layout") != "twoline", F.col("message"))).when(F.col("layout") == "second", F.col("message")).otherwise(F.col("content"))
+    d = d.select("file_path", "blk", "line_number", F.when(is_head(F.col("layout")), F.col("line_number")).alias("_h"), text.alias("text"), F.lit(False).alias("_mark"))
+    d = d.unionByName(marks).repartition("file_path", "blk")
+    w = Window.partitionBy("file_path", "blk").orderBy("line_number", F.desc("_mark"))
+    d = d.withColumn("_p", F.lag("line_number").over(w)).withColumn("first_line", F.last("_h", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.where(~F.col("_mark") & F.col("first_line").isNotNull() & F.col("text").isNotNull() & (F.col("_p").isNull() | (F.col("_p") != F.col("line_number"))))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("line_number", "text"))), lambda x: x["text"])
+    texts = d.groupBy("file_path", "first_line").agg(F.concat_ws("\n", whole).alias("message"))
+    return entries.drop("message").join(texts, ["file_path", "first_line"], "left")

@@ -946,5 +946,21 @@ def _as_folder(spark: SparkSession, d: str, name: str) -> str:
     return at
 
 
+QUERIES["src_mmap"] = QUERIES["src_cas_read"]
+
+
+@register("a_search_stats", f"WITH {_L}, q AS (SELECT 'cache' AS query, count(*) AS n FROM l WHERE regexp_matches(content, '(?i)cache') UNION ALL SELECT 'queue', count(*) FROM l WHERE regexp_matches(content, '(?i)queue')) SELECT count(*) AS searches, CAST(sum(n) AS BIGINT) AS results, avg(n) AS mean FROM q")
+def a_search_stats(spark, d):
+    hits = F.array_compact(F.array(*[F.when(sq.compile_query(query(term(w)), F.col("content")), w) for w in ("cache", "queue")]))
+    n = unique(lines(spark, d).select("id", hits.alias("q")).where(F.size("q") > 0)).select(F.explode("q").alias("query")).groupBy("query").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("searches"), F.sum("n").alias("results"), F.avg("n").alias("mean"))
+
+
+@register("a_highlight_stats", f"WITH {_L} SELECT count(*) AS n_lines, CAST(sum(len(string_split(lower(content), 'queue')) - 1) AS BIGINT) AS n_ranges FROM l WHERE regexp_matches(content, '(?i)queue')")
+def a_highlight_stats(spark, d):
+    t = unique(lines(spark, d).where(F.col("content").rlike("(?i)queue")))
+    return t.agg(F.count("*").alias("n_lines"), F.sum(F.size(highlight.highlight_ranges([term("queue")], F.col("content")))).alias("n_ranges"))
+
+
 QUERIES |= problems.QUERIES
 ORACLE |= problems.ORACLE

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumberline.operators import compaction, hierarchy
-from lumberline.operators.log_entries import log_entries
+from lumberline.operators.log_entries import entry_messages, log_entries
 from lumberline.session import cut, spread
 
 
@@ -56,7 +56,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_entries(spread(log), table(spark, sf_dir, "files")).drop("message")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_depths, p1_descendants, p3_found, p3_trace, p4_found)}
+def p4_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every log entry with its whole message."""
+    log = table(spark, sf_dir, "log_index").select("file_path", "line_number", "content")
+    return entry_messages(spread(log), table(spark, sf_dir, "files"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_depths, p1_descendants, p3_found, p3_trace, p4_found, p4_messages)}
 
 _ARCHIVES = "a AS (SELECT id, max(parent_archive_id) AS parent, max(depth_level) AS depth_level, max(original_name) AS name FROM archives WHERE id IS NOT NULL GROUP BY id)"
 _REACH = f"{_ARCHIVES}, reach(id, up) AS (SELECT id, parent FROM a WHERE parent IS NOT NULL UNION SELECT r.id, a.parent FROM reach r JOIN a ON a.id = r.up WHERE a.parent IS NOT NULL)"

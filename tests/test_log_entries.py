@@ -72,7 +72,12 @@ def test_empty_tables(spark):
 def test_blocks_give_the_same(spark, monkeypatch):
     head = "2024-02-04 22:33:{:02d} [INFO] a - b"
     rows = [(i, "f", i + 1, head.format(i % 60) if i % 7 == 0 and not 20 < i < 60 else f"more {i}", None) for i in range(100)]
+    rows.append((100, "f", 101, "last", None))
     whole = entries(spark, rows)
+    messages = {(r.first_line): r.message for r in le.entry_messages(*frames(spark, rows)).collect()}
+    for _, a, b, *_ in whole:
+        assert messages[a] == "\n".join(["b", *[r[3] for r in rows if a < r[2] <= b]])
     monkeypatch.setattr(le, "BLOCK_BITS", 3)
     monkeypatch.setattr(le, "BLOCK", 8)
     assert entries(spark, rows) == whole and len(whole) > 5
+    assert {(r.first_line): r.message for r in le.entry_messages(*frames(spark, rows)).collect()} == messages
