@@ -8,7 +8,9 @@ many rounds as levels.  The prefix sums over siblings run in blocks of ``BLOCK``
 of all children nor an archive with a third of all files ends up in one task.
 
 ``lft`` and ``rgt`` hold in the tree of ``top_id``: b lies below a if both have one ``top_id`` and
-``a.lft < b.lft < a.rgt``.
+``a.lft < b.lft < a.rgt``.  A ring of parent links is a tree for each member, which holds what hangs off that member;
+below a member of a ring are the other members and all that hangs off any of them (``root_id`` is the same for all of
+it), but not itself.
 
 Defined cases: rows with a null id are no nodes; repeated rows of an id count once (where they differ, the largest
 value counts); a null name appears as ``#id``; empty tables give no rows; further columns are ignored.
@@ -60,23 +62,28 @@ def _subtree_sizes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _cycle_roots(cyclic: DataFrame) -> DataFrame:
-    """``id, root_id``: the smallest id on each cycle, by minima over 1, 2, 4, ... steps until none changes."""
+    """``id, root_id, ring_at, own_size``: the smallest id on each cycle, by minima over 1, 2, 4, ... steps until none
+    changes, and how many steps up it is."""
     spark = cyclic.sparkSession
-    at = cut(spark, cyclic.select("id", F.col("parent").alias("nxt"), F.col("id").alias("m")), "tree-cycles")
+    at = cut(spark, cyclic.select("id", F.col("parent").alias("nxt"), F.col("id").alias("m"), F.lit(0).cast("bigint").alias("o"), F.col("size").alias("own_size")), "tree-cycles")
+    steps = 1
     while not at.isEmpty():
-        ahead = at.select(F.col("id").alias("nxt"), F.col("nxt").alias("_n"), F.col("m").alias("_m"))
-        new = at.join(ahead, "nxt").select("id", F.col("_n").alias("nxt"), F.least("m", "_m").alias("m"), (F.col("_m") < F.col("m")).alias("changed"))
+        ahead = at.select(F.col("id").alias("nxt"), F.col("nxt").alias("_n"), F.col("m").alias("_m"), F.col("o").alias("_o"))
+        less = F.col("_m") < F.col("m")
+        new = at.join(ahead, "nxt").select("id", F.col("_n").alias("nxt"), F.least("m", "_m").alias("m"), F.when(less, F.col("_o") + steps).otherwise(F.col("o")).alias("o"), "own_size", less.alias("changed"))
         new, n_changed = cut_counting(spark, new, "tree-cycles", F.col("changed"))
         at = new.drop("changed")
+        steps *= 2
         if not n_changed:
             break
-    return at.select("id", F.col("m").alias("root_id"))
+    return at.select("id", F.col("m").alias("root_id"), F.col("o").alias("ring_at"), "own_size")
 
 
 def archive_tree(archives: DataFrame, files: DataFrame) -> DataFrame:
-    """A row for each archive: ``id, name, depth_level, state, path, depth, root_id, top_id, lft, size, leaves``.
+    """A row for each archive: ``id, name, depth_level, state, path, depth, root_id, top_id, lft, size, leaves,
+    n_descendants, ring_at``.
 
-    ``state``: ``tree``, ``orphan`` (the chain ends at the id ``root_id``, which doesn't exist), ``cycle`` or
+    ``ring_at``: steps up from a member of a cycle to the smallest id on it.  ``state``: ``tree``, ``orphan`` (the chain ends at the id ``root_id``, which doesn't exist), ``cycle`` or
     ``under_cycle``.  Depth and ranges of an orphan count from the top that is there, those below a cycle from it.
     """
     spark = archives.sparkSession
@@ -90,12 +97,14 @@ def archive_tree(archives: DataFrame, files: DataFrame) -> DataFrame:
     sizes, cyclic = _subtree_sizes(a.select("id", "parent", "leaves"))
     ring = _cycle_roots(cyclic)
     placed_sizes = _siblings(sizes, "parent", F.col("size")).select("id", "size", "ahead")
-    known = a.join(placed_sizes, "id", "left").join(ring.withColumnRenamed("root_id", "ring"), "id", "left")
+    totals = ring.groupBy("root_id").agg(F.sum("own_size").alias("ring_size"))
+    ring = ring.join(totals, "root_id").withColumnRenamed("root_id", "ring")
+    known = a.join(placed_sizes, "id", "left").join(ring, "id", "left").withColumn("size", F.coalesce("size", "own_size"))
     known = cut(spark, known, "tree-known")
     top = known.where(F.col("parent").isNull() | F.col("ring").isNotNull())
     state = F.when(F.col("ring").isNotNull(), "cycle").when(F.col("want").isNotNull(), "orphan").otherwise("tree")
-    columns = ("id", "name", "depth_level", "state", "path", "depth", "root_id", "top_id", "lft", "size", "leaves")
-    layer = top.select("id", "name", "depth_level", state.alias("state"), F.concat(F.lit("/"), F.col("name")).alias("path"), F.lit(0).cast("bigint").alias("depth"), F.coalesce("ring", "want", "id").alias("root_id"), F.col("id").alias("top_id"), F.lit(1).cast("bigint").alias("lft"), F.col("size").cast("bigint").alias("size"), "leaves")
+    columns = ("id", "name", "depth_level", "state", "path", "depth", "root_id", "top_id", "lft", "size", "leaves", "n_descendants", "ring_at")
+    layer = top.select("id", "name", "depth_level", state.alias("state"), F.concat(F.lit("/"), F.col("name")).alias("path"), F.lit(0).cast("bigint").alias("depth"), F.coalesce("ring", "want", "id").alias("root_id"), F.col("id").alias("top_id"), F.lit(1).cast("bigint").alias("lft"), F.col("size").cast("bigint").alias("size"), "leaves", (F.coalesce("ring_size", "size") - 1).cast("bigint").alias("n_descendants"), "ring_at")
     still = known.where(F.col("parent").isNotNull() & F.col("ring").isNull()).select("id", "parent", "name", "depth_level", "size", "ahead", "leaves")
     layers = []
     layer = cut(spark, layer, "tree-layer")
@@ -110,23 +119,23 @@ def archive_tree(archives: DataFrame, files: DataFrame) -> DataFrame:
             "id", "name", "depth_level", F.when(F.col("s") == "cycle", "under_cycle").otherwise(F.col("s")).alias("state"),
             F.concat_ws("/", "p", "name").alias("path"), (F.col("d") + 1).alias("depth"), F.col("r").alias("root_id"), F.col("t").alias("top_id"),
             (F.col("l") + 1 + F.col("n") + F.col("ahead")).cast("bigint").alias("lft"), F.col("size").cast("bigint").alias("size"), "leaves",
+            (F.col("size") - 1).cast("bigint").alias("n_descendants"), F.lit(None).cast("bigint").alias("ring_at"),
         )
         still = both.where(F.col("s").isNull()).select(*still.columns)
     out = layers[0]
     for x in layers[1:]:
         out = out.unionByName(x)
-    # A member of a cycle holds itself through the ring; its range covers what hangs off it.
+    # The range of a member of a cycle covers what hangs off it; its descendants are the whole ring's.
     return out.select(*columns)
 
 
 def hierarchy(archives: DataFrame, files: DataFrame) -> DataFrame:
-    """A row for each archive and file: ``node_kind, node_id, path, depth_level, state, depth, root_id, top_id, lft, rgt, n_descendants``.
+    """A row for each archive and file: ``node_kind, node_id, path, depth_level, state, depth, root_id, top_id, lft, rgt, n_descendants, ring_at``.
 
     Files without an archive have their own path, depth 0 and no root.
     """
     tree = cut(archives.sparkSession, archive_tree(archives, files), "tree")
-    size = F.coalesce("size", F.lit(1) + F.col("leaves"))
-    top = tree.select(F.lit("archive").alias("node_kind"), F.col("id").alias("node_id"), "path", "depth_level", "state", "depth", "root_id", "top_id", "lft", (F.col("lft") + size).alias("rgt"), (size - 1).alias("n_descendants"))
+    top = tree.select(F.lit("archive").alias("node_kind"), F.col("id").alias("node_id"), "path", "depth_level", "state", "depth", "root_id", "top_id", "lft", (F.col("lft") + F.col("size")).alias("rgt"), "n_descendants", "ring_at")
     f = files.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("parent_archive_id").alias("parent"), F.max("depth_level").alias("depth_level"), F.max("original_name").alias("name"))
     f = f.withColumn("name", F.coalesce("name", F.concat(F.lit("#"), F.col("id").cast("string"))))
     f = _siblings(f, "parent", F.lit(1))
@@ -138,7 +147,7 @@ def hierarchy(archives: DataFrame, files: DataFrame) -> DataFrame:
     leaf = d.select(
         F.lit("file").alias("node_kind"), F.col("id").alias("node_id"), F.when(alone | lost, F.concat(F.lit("/"), F.col("name"))).otherwise(F.concat_ws("/", "p", "name")).alias("path"), "depth_level", state.alias("state"),
         F.when(alone | lost, F.lit(0)).otherwise(F.col("d") + 1).cast("bigint").alias("depth"), F.when(alone, None).when(lost, F.col("parent")).otherwise(F.col("root_id")).alias("root_id"),
-        "top_id", lft.alias("lft"), (lft + 1).alias("rgt"), F.lit(0).cast("bigint").alias("n_descendants"),
+        "top_id", lft.alias("lft"), (lft + 1).alias("rgt"), F.lit(0).cast("bigint").alias("n_descendants"), F.lit(None).cast("bigint").alias("ring_at"),
     )
     return top.unionByName(leaf)
 
@@ -150,15 +159,39 @@ def findings(nodes: DataFrame) -> DataFrame:
 
 
 def descendants(nodes: DataFrame) -> DataFrame:
-    """``ancestor_id, node_kind, node_id, distance`` of all nodes below each archive that is in a tree or below an orphan.
+    """``ancestor_id, node_kind, node_id, distance`` of all nodes below each archive that is in a tree or below an orphan."""
+    return _within(nodes.where(F.col("state").isin("tree", "orphan")))
+
+
+def all_descendants(nodes: DataFrame) -> DataFrame:
+    """``descendants`` of every archive, those on and below a cycle included.
+
+    Below a member of a cycle are the other members and what hangs off any of them; it isn't below itself.  A distance
+    is the number of parent links from the node up to the archive, once around a cycle at most.
+    """
+    return _within(nodes, F.col("state") != "cycle").unionByName(_around(nodes.where(F.col("state").isin("cycle", "under_cycle"))))
+
+
+def _around(nodes: DataFrame) -> DataFrame:
+    """The pairs of the members of each cycle, out of the nodes on and below one: an equi-join on the cycle."""
+    ring = nodes.where(F.col("state") == "cycle")
+    long = ring.groupBy("root_id").agg(F.count("*").alias("_long"))
+    above = ring.join(long, "root_id").select("root_id", F.col("node_id").alias("ancestor_id"), F.col("ring_at").alias("_a"), "_long")
+    off = ring.select(F.col("node_id").alias("top_id"), F.col("ring_at").alias("_n"))
+    j = nodes.join(off, "top_id").join(above, "root_id").where((F.col("node_kind") != "archive") | (F.col("node_id") != F.col("ancestor_id")))
+    return j.select("ancestor_id", "node_kind", "node_id", (F.col("depth") + F.pmod(F.col("_n") - F.col("_a"), F.col("_long"))).alias("distance"))
+
+
+def _within(nodes: DataFrame, above=None) -> DataFrame:
+    """The pairs by ranges, of all archives or those ``above`` holds for.
 
     A join on nested-set ranges as an equi-join: a range is cut into blocks of powers of two, at most two of each
     size, and a node looks up the one block of each size that holds it.  What comes out is every pair that is asked
     for, its size the sum of the depths.
     """
-    inner = nodes.where(F.col("state").isin("tree", "orphan") & F.col("top_id").isNotNull())
+    inner = nodes.where(F.col("top_id").isNotNull())
     bits = inner.agg(F.max(F.length(F.bin("rgt")))).first()[0] or 1
-    a = inner.where((F.col("node_kind") == "archive") & (F.col("n_descendants") > 0)).select(F.col("node_id").alias("ancestor_id"), "top_id", F.col("depth").alias("_d"), (F.col("lft") + 1).alias("a"), F.col("rgt").alias("b"))
+    a = inner.where((F.lit(True) if above is None else above) & (F.col("node_kind") == "archive") & (F.col("n_descendants") > 0)).select(F.col("node_id").alias("ancestor_id"), "top_id", F.col("depth").alias("_d"), (F.col("lft") + 1).alias("a"), F.col("rgt").alias("b"))
     levels = F.sequence(F.lit(0), F.lit(bits))
 
     def blocks(k):

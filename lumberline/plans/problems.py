@@ -25,7 +25,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every archive and file with its path, true depth, root, range and number of descendants."""
-    return _nodes(spark, sf_dir)
+    return _nodes(spark, sf_dir).drop("ring_at")
 
 
 def p1_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def p1_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All archives and files below each archive, with their distance."""
-    return hierarchy.descendants(cut(spark, _nodes(spark, sf_dir), "nodes"))
+    """All archives and files below each archive, with their distance; the SQL has those on and below no cycle only."""
+    return hierarchy.all_descendants(cut(spark, _nodes(spark, sf_dir), "nodes"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,33 @@ def test_a_wrong_copy_is_refused(spark, monkeypatch):
     monkeypatch.setattr(compaction, "checksums", broken)
     with pytest.raises(ValueError):
         compaction.compact(spark.range(5), out)
+
+
+def below_by_walk(parents, file_parents):
+    """``ancestor, kind, node, distance`` by following parents until a node comes again."""
+    out = set()
+    for kind, links in (("archive", parents), ("file", file_parents)):
+        for v, p in links.items():
+            seen, steps = ({v} if kind == "archive" else set()), 1
+            while p in parents and p not in seen:
+                out.add((p, kind, v, steps))
+                seen.add(p)
+                p, steps = parents[p], steps + 1
+    return out
+
+
+def test_descendants_on_and_below_cycles(spark):
+    rnd = random.Random(11)
+    parents = {i: rnd.choice([None, 99, *range(1, 41)]) for i in range(1, 41)}
+    parents |= {7: 7, 50: 53, 51: 50, 52: 51, 53: 52, 54: 52, 55: 54, 56: 54, 57: 7, 60: 61, 61: 60}
+    files = {i: rnd.choice([None, 98, *parents]) for i in range(1, 120)} | {200: 55, 201: 52}
+    nodes = hierarchy.hierarchy(*make(spark, parents, files)).cache()
+    rows = [tuple(r) for r in hierarchy.all_descendants(nodes).collect()]
+    want = below_by_walk(parents, files)
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    archives = {r.node_id: r for r in nodes.where("node_kind = 'archive'").collect()}
+    for i, r in archives.items():
+        assert r.n_descendants == sum(1 for a, *_ in want if a == i)
+    for r in nodes.where("state = 'under_cycle'").collect():
+        top = archives[r.top_id]
+        assert top.state == "cycle" and top.lft < r.lft < r.rgt <= top.rgt
