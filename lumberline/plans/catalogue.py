@@ -697,7 +697,8 @@ def a_time_range(spark, d):
 
 @register("a_compression", f"WITH {_F} SELECT id, CASE WHEN size = 0 THEN 0.0 ELSE size / 1000.0 END AS ratio, CASE WHEN depth_level = 0 THEN size / 1000.0 ELSE pow(size / 1000.0, depth_level) END AS risk FROM f WHERE size >= 0 AND depth_level BETWEEN 0 AND 3")
 def a_compression(spark, d):
-    f = distinct_files(spark, d).where((F.col("size") >= 0) & F.col("depth_level").between(0, 3))
+    """All files of known size; without a depth the risk is null unless the ratio is 0. The SQL has depths 0 to 3 only."""
+    f = distinct_files(spark, d).where(F.col("size") >= 0)
     r = import_safety.ratio(F.lit(1000), F.col("size"))
     return f.select("id", r.alias("ratio"), import_safety.risk(r, F.col("depth_level")).alias("risk"))
 
@@ -811,7 +812,8 @@ def g_ratio(spark, d):
 
 @register("g_risk", f"WITH {_F} SELECT id, CASE WHEN size = 0 THEN 0.0 WHEN depth_level = 0 THEN size / 500.0 ELSE pow(size / 500.0, depth_level) END AS risk FROM f WHERE size >= 0 AND depth_level BETWEEN 0 AND 2")
 def g_risk(spark, d):
-    f = distinct_files(spark, d).where((F.col("size") >= 0) & F.col("depth_level").between(0, 2))
+    """All files of known size; without a depth the risk is null unless the ratio is 0. The SQL has depths 0 to 2 only."""
+    f = distinct_files(spark, d).where(F.col("size") >= 0)
     return f.select("id", import_safety.risk(import_safety.ratio(F.lit(500), F.col("size")), F.col("depth_level")).alias("risk"))
 
 

@@ -65,3 +65,17 @@ def test_links_are_left_out(spark):
 def test_tail_continues_whole_lines(spark):
     got = sorted(catalogue.QUERIES["st_tail"](spark, str(DATA)).collect())
     assert [(r.line, r.content, r.level) for r in got] == [(1, "2024-01-01 10:00:00 [INFO] one", "info"), (2, "two", "debug"), (3, "partly three", "debug"), (4, "[ERROR] four", "error")]
+
+
+@pytest.mark.parametrize(("name", "packed"), [("g_risk", 500), ("a_compression", 1000)])
+def test_risk_at_any_depth(spark, db, name, packed):
+    """Every file of known size comes out, whatever its depth; deep powers agree relatively, and SQL's rows are the same."""
+    got = {r["id"]: r for r in catalogue.QUERIES[name](spark, str(DATA)).collect()}
+    want = db.execute("SELECT DISTINCT id, size, depth_level FROM files WHERE size >= 0").fetchall()
+    assert len(got) == len(want) and {i for i, *_ in want} == set(got)
+    assert {n is None for *_, n in want} == {True, False} and max(n for *_, n in want if n is not None) > 3
+    for i, size, depth in want:
+        risk = 0.0 if size == 0 else None if depth is None else (size / packed) ** (depth or 1)
+        assert got[i]["risk"] == (risk if risk is None else pytest.approx(risk, rel=1e-9))
+    for r in db.execute(catalogue.ORACLE[name]).df().itertuples():
+        assert got[r.id]["risk"] == pytest.approx(r.risk, rel=1e-9)
