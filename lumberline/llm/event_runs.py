@@ -7,7 +7,7 @@ white space and every blank-separated token with a digit are set aside.
 
 A file is handled in blocks of line numbers (see ``operators.log_entries``).  All in-block work is one shuffle on
 (file, block).  Files longer than a block also go, by themselves, through a second path that works out what crosses a
-block's edge: the tail of an entry, the key before, the next start after.  It ends in one row for each of their blocks.
+block's edge: the tail of an entry (the level of a two-line header with it), the key before, the next start after.  It ends in one row for each of their blocks.
 
 Defined cases: as for entries; a null component or level equals another null one; repeated rows of a line count once;
 an empty table gives an empty result.
@@ -109,6 +109,7 @@ def _crossings(lines: DataFrame, long_files: DataFrame) -> DataFrame:
     tails = carried.groupBy("file_path", F.shiftright("owner", BLOCK_BITS).alias("blk")).agg(
         F.bit_xor(_mark(F.col("core"), F.col("n0") + F.col("n"))).alias("t_sig"),
         F.max("line_number").alias("t_last"),
+        F.max(F.when((F.col("layout") == "second") & (F.col("line_number") == F.col("owner") + 1), F.col("level"))).alias("t_level"),
         F.max(F.when(F.col("core") != "", F.col("n0") + F.col("n"))).alias("t_cores"),
     )
     # 2. Their whole entries, and which of them start a run.
@@ -127,7 +128,7 @@ def _crossings(lines: DataFrame, long_files: DataFrame) -> DataFrame:
     firsts = s.groupBy(*_FB).agg(F.min_by(F.struct((F.col("seq0") + F.col("rn")).alias("seq"), F.col("_z.last_line").alias("last_line"), F.col("_z.ts").alias("ts")), "first_line").alias("first"))
     info = ends.join(firsts, [*_FB], "left").join(tails, [*_FB], "left")
     later = Window.partitionBy("file_path").orderBy("blk").rowsBetween(1, Window.unboundedFollowing)
-    return info.select(*_FB, "t_sig", "t_last", "t_cores", "seq0", "before", F.coalesce(F.first("first", ignorenulls=True).over(later), F.col("end")).alias("after"))
+    return info.select(*_FB, "t_sig", "t_last", "t_level", "t_cores", "seq0", "before", F.coalesce(F.first("first", ignorenulls=True).over(later), F.col("end")).alias("after"))
 
 
 def _with_tail(d: DataFrame, w) -> DataFrame:
@@ -136,8 +137,10 @@ def _with_tail(d: DataFrame, w) -> DataFrame:
     d = d.withColumn("_last", last)
     d = d.withColumn("sig", F.when(F.col("_last"), F.col("sig").bitwiseXOR(F.col("t_sig"))).otherwise(F.col("sig")))
     d = d.withColumn("last_line", F.when(F.col("_last"), F.col("t_last")).otherwise(F.col("last_line")))
+    # Only a two-line header whose second line is yet to come has no level.
+    d = d.withColumn("level", F.when(F.col("_last"), F.coalesce("level", "t_level")).otherwise(F.col("level")))
     d = d.withColumn("cores", F.when(F.col("_last"), F.coalesce("t_cores", "cores")).otherwise(F.col("cores")))
-    return d.drop("_last", "t_sig", "t_last", "t_cores")
+    return d.drop("_last", "t_sig", "t_last", "t_level", "t_cores")
 
 
 def event_runs(lines: DataFrame) -> DataFrame:

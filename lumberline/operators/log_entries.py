@@ -4,7 +4,7 @@ A line is a header if, after an optional byte-order mark, one of an ordered casc
 start.  Each layout is one anchored expression whose named parts are brought into one canonical row, so a line costs
 one matching expression and one rewrite, all inside the JVM.  Lines of a file are handled in blocks of ``BLOCK`` line
 numbers: a file of any length is spread over many tasks, and what crosses a block's edge (the next header of a later
-block) comes from a table with one row for each block.
+block, the second line of a header on the block's last line) comes from a table with one row for each block.
 
 Defined cases: rows with a null ``file_path`` or ``line_number`` have no place in any file and are left out; a null
 ``content`` is an empty line; repeated rows of a line count once; lines ahead of a file's first header belong to no
@@ -218,20 +218,25 @@ def _file_years(files: DataFrame) -> DataFrame:
 
 
 def block_table(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """A row for each block of each file: ``file_path, blk, max_line, year, next_head``.
+    """A row for each block of each file: ``file_path, blk, max_line, year, next_head, next_second``.
 
-    ``next_head`` is the first header line of any later block.  It needs headers of lines from ``BLOCK`` on only, so a
-    second evaluation of the expressions touches nothing but the tails of very long files.
+    ``next_head`` is the first header line of any later block, ``next_second`` level and message of the next block's
+    first line where that is the second of a header.  They need lines from ``BLOCK`` on only, so a second evaluation of the expressions touches nothing but the tails of very long files.
     """
     at = lines.where(F.col("file_path").isNotNull() & F.col("line_number").isNotNull())
     ends = at.groupBy("file_path").agg(F.max("line_number").alias("max_line"))
     ends = ends.join(_file_years(files), "file_path", "left")
     blocks = ends.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright("max_line", BLOCK_BITS))).alias("blk"))
-    late = parse_lines(lines.where(F.col("line_number") >= BLOCK)).where(is_head(F.col("layout")))
-    firsts = late.groupBy("file_path", "blk").agg(F.min("line_number").alias("next_head"))
-    before = F.coalesce(F.lag("blk").over(Window.partitionBy("file_path").orderBy("blk")), F.lit(0))
-    spread = firsts.withColumn("_b", before)
-    spread = spread.select("file_path", "next_head", F.explode(F.sequence("_b", F.col("blk") - 1)).alias("blk"))
+    head = is_head(F.col("layout"))
+    edge = (F.col("layout") == "second") & (F.col("line_number") == F.shiftleft("blk", BLOCK_BITS))
+    late = parse_lines(lines.where(F.col("line_number") >= BLOCK)).where(head | edge)
+    firsts = late.groupBy("file_path", "blk").agg(F.min(F.when(head, F.col("line_number"))).alias("next_head"), F.max(F.when(edge, F.struct("level", "message"))).alias("_s"))
+    ahead = Window.partitionBy("file_path").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.last(F.when(F.col("next_head").isNotNull(), F.col("blk")), ignorenulls=True).over(ahead), F.lit(0))
+    last = F.col("blk") - 1
+    spread = firsts.withColumn("_b", F.when(F.col("next_head").isNotNull(), before).otherwise(last)).withColumn("_e", last)
+    spread = spread.select("file_path", "next_head", "_s", "_e", F.explode(F.sequence("_b", "_e")).alias("blk"))
+    spread = spread.groupBy("file_path", "blk").agg(F.min("next_head").alias("next_head"), F.max(F.when(F.col("blk") == F.col("_e"), F.col("_s"))).alias("next_second"))
     return blocks.join(spread, ["file_path", "blk"], "left")
 
 
@@ -256,6 +261,9 @@ def log_entries(lines: DataFrame, files: DataFrame) -> DataFrame:
     d = d.withColumn("message", F.when(two, F.col("_n.message")).otherwise(F.col("message")))
     d = d.withColumn("_next", F.lead("line_number").over(w))
     d = d.join(block_table(lines, files), ["file_path", "blk"], "left")
+    over = (F.col("layout") == "twoline") & F.col("next_second").isNotNull() & (F.col("line_number") + 1 == F.shiftleft(F.col("blk") + 1, BLOCK_BITS))
+    d = d.withColumn("level", F.when(over, F.col("next_second.level")).otherwise(F.col("level")))
+    d = d.withColumn("message", F.when(over, F.col("next_second.message")).otherwise(F.col("message")))
     last = F.coalesce(F.col("_next") - 1, F.col("next_head") - 1, F.col("max_line"))
     return d.select("file_path", F.col("line_number").alias("first_line"), last.alias("last_line"), _timed(d).alias("ts_ms"), "level", "component", "message")
 

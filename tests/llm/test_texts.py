@@ -98,6 +98,18 @@ def test_event_runs(spark, monkeypatch, bits):
     assert got == plain_runs(rows)
 
 
+@pytest.mark.parametrize("bits", [16, 3])
+def test_runs_of_two_line_headers(spark, monkeypatch, bits):
+    """Alike entries whose second line is the first of a block stay one run."""
+    texts = ["ahead"] + [t for i in range(40) for t in (f"Jul 17, 2024 12:01:{i:02d} AM net.x.Follower handle", f"{'SEVERE' if i < 25 else 'FINE'}: down {i}")]
+    for m in (le, er):
+        monkeypatch.setattr(m, "BLOCK_BITS", bits)
+        monkeypatch.setattr(m, "BLOCK", 1 << bits)
+    df = spark.createDataFrame([(i, f, i + f0, t) for f, f0 in (("a", 1), ("b", 0)) for i, t in enumerate(texts) if i + f0], "id bigint, file_path string, line_number bigint, content string")
+    got = sorted((r.file_path, r.first_line, r.last_line, r.n_events, r.level) for r in er.event_runs(df).collect())
+    assert got == [("a", 2, 51, 25, "error"), ("a", 52, 81, 15, "debug"), ("b", 1, 50, 25, "error"), ("b", 51, 80, 15, "debug")]
+
+
 def test_event_runs_of_nothing(spark):
     df = spark.createDataFrame([], "id bigint, file_path string, line_number bigint, content string")
     assert er.event_runs(df).collect() == []

@@ -80,3 +80,23 @@ def test_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(le, "BLOCK", 8)
     assert entries(spark, rows) == whole and len(whole) > 5
     assert {(r.first_line): r.message for r in le.entry_messages(*frames(spark, rows)).collect()} == messages
+
+
+def test_two_line_header_over_a_block_edge(spark, monkeypatch):
+    """Headers begin at each line of a block in turn; some have lines ahead of or behind the second, some none."""
+    head = "Jul 17, 2024 12:01:{:02d} AM net.x.Follower handle"
+    texts = []
+    for i in range(24):
+        texts += [head.format(i), f"{('SEVERE', 'FINE')[i % 2]}: down {i}", *[f"more {k}" for k in range((0, 1, 0, 11, 0)[i % 5])]]
+    texts += [head.format(30), "no second", "WARNING: too late"] * 9
+    rows = [(i, "f", i + 1, c, None) for i, c in enumerate(texts)]
+    rows += [r for r in rows if r[2] % 8 in (0, 7)]
+
+    def got():
+        return sorted(tuple(r) for r in le.log_entries(*frames(spark, rows)).select("first_line", "last_line", "ts_ms", "level", "component", "message").collect()), {(r.first_line): (r.level, r.message) for r in le.entry_messages(*frames(spark, rows)).collect()}
+
+    whole = got()
+    assert sum(r[0] % 8 == 7 and r[3] is not None for r in whole[0]) > 2 and len(whole[0]) == 33
+    monkeypatch.setattr(le, "BLOCK_BITS", 3)
+    monkeypatch.setattr(le, "BLOCK", 8)
+    assert got() == whole
