@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumberline.operators.log_entries import BLOCK, BLOCK_BITS, _timed, is_head, parse_lines
+from lumberline.operators.log_entries import BLOCK, BLOCK_BITS, _file_years, _timed, is_head, parse_lines
 from lumberline.session import cut
 
 #: Tables of one row for each block of a long file are broadcast up to so many rows (under 20 MB), joined beyond.
@@ -49,8 +49,7 @@ def _keyed(lines: DataFrame) -> DataFrame:
     d = parse_lines(lines)
     head = is_head(F.col("layout"))
     text = F.when(F.col("layout").isNotNull(), F.col("message")).otherwise(F.col("content"))
-    d = d.withColumn("year", F.lit(None).cast("int"))
-    d = d.select(*_FB, "line_number", F.when(head, F.col("line_number")).alias("_hl"), "layout", F.when(head, _timed(d)).alias("ts"), "level", "component", message_core(text).alias("core"))
+    d = d.select(*_FB, "line_number", F.when(head, F.col("line_number")).alias("_hl"), "layout", F.when(head, F.struct("ts_ms", "month", "day")).alias("at"), "level", "component", message_core(text).alias("core"))
     d = d.repartition(*_FB)
     w = Window.partitionBy(*_FB).orderBy("line_number")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -66,7 +65,15 @@ def _mark(core: Column, n: Column) -> Column:
     return F.when(core != "", F.xxhash64(core, n.cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
 
 
-def _block_entries(keyed: DataFrame) -> DataFrame:
+def _block_years(ends: DataFrame, files: DataFrame | None) -> DataFrame | None:
+    """``file_path, blk, year`` of each block of the files whose year is known, so that no file's rows come together."""
+    if files is None:
+        return None
+    d = ends.join(_file_years(files), "file_path")
+    return d.select("file_path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright("_m", BLOCK_BITS))).alias("blk"), "year")
+
+
+def _block_entries(keyed: DataFrame, years: DataFrame | None) -> DataFrame:
     """The entries that begin in each block, as far as the block has them."""
     d = keyed.where(F.col("head").isNotNull())
     at = F.col("line_number") == F.col("head")
@@ -77,12 +84,14 @@ def _block_entries(keyed: DataFrame) -> DataFrame:
         F.max(F.when(at, F.col("level"))).alias("_l1"),
         F.max(F.when(second, F.col("level"))).alias("_l2"),
         F.max(F.when(at, F.col("component"))).alias("component"),
-        F.max(F.when(at, F.col("ts"))).alias("ts"),
+        F.max(F.when(at, F.col("at"))).alias("at"),
         F.bit_xor(_mark(F.col("core"), F.col("n"))).alias("sig"),
         F.max(F.when(F.col("core") != "", F.col("n"))).alias("_n"),
     )
     level = F.when(F.col("_lay") == "twoline", F.col("_l2")).otherwise(F.col("_l1"))
-    return g.select(*_FB, F.col("head").alias("first_line"), "last_line", level.alias("level"), "component", "ts", "sig", F.coalesce("_n", F.lit(0)).alias("cores"))
+    g = g.withColumn("year", F.lit(None).cast("int")) if years is None else g.join(years, [*_FB], "left")
+    g = g.select("*", "at.*")
+    return g.select(*_FB, F.col("head").alias("first_line"), "last_line", level.alias("level"), "component", _timed(g).alias("ts"), "sig", F.coalesce("_n", F.lit(0)).alias("cores"))
 
 
 def _key(d: DataFrame) -> Column:
@@ -93,7 +102,7 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _crossings(lines: DataFrame, long_files: DataFrame) -> DataFrame:
+def _crossings(lines: DataFrame, long_files: DataFrame, years: DataFrame | None) -> DataFrame:
     """For each block of the long files what its neighbours have: ``tail`` (of its last entry), ``seq0`` (entries in
     earlier blocks), ``before`` (the entry ahead of the block), ``after`` (the next start in a later block or the end)."""
     spark = lines.sparkSession
@@ -114,7 +123,7 @@ def _crossings(lines: DataFrame, long_files: DataFrame) -> DataFrame:
     )
     # 2. Their whole entries, and which of them start a run.
     w = Window.partitionBy(*_FB).orderBy("first_line")
-    e = cut(spark, _with_tail(_block_entries(keyed).join(tails, [*_FB], "left"), w), "runs-entries")
+    e = cut(spark, _with_tail(_block_entries(keyed, years).join(tails, [*_FB], "left"), w), "runs-entries")
     e = e.withColumn("key", _key(e))
     ends = e.groupBy(*_FB).agg(F.count("*").alias("k"), F.max_by(F.struct("key", "last_line", "ts"), "first_line").alias("z"))
     by_file = Window.partitionBy("file_path").orderBy("blk")
@@ -143,20 +152,22 @@ def _with_tail(d: DataFrame, w) -> DataFrame:
     return d.drop("_last", "t_sig", "t_last", "t_level", "t_cores")
 
 
-def event_runs(lines: DataFrame) -> DataFrame:
+def event_runs(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """One row for each run: ``file_path, first_line, last_line, n_events, level, component, first_ms, duration_ms``.
 
-    A run of one entry has ``n_events`` 1.  ``first_ms`` of layouts without a year counts from 1970.
+    A run of one entry has ``n_events`` 1.  A missing year is that of the file's ``modified_time`` in ``files``, as for
+    entries; without ``files``, where no times are wanted, it is 1970.
     """
     ends = lines.where(F.col("file_path").isNotNull()).groupBy("file_path").agg(F.max("line_number").alias("_m"))
     long_files = ends.where(F.col("_m") >= BLOCK).select("file_path")
-    e = _block_entries(_keyed(lines))
+    years = _block_years(ends, files)
+    e = _block_entries(_keyed(lines), years)
     w = Window.partitionBy(*_FB).orderBy("first_line")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     if long_files.isEmpty():
         before, after, seq0 = F.lit(None), F.lit(None), F.lit(0)
     else:
-        info = _small(cut(lines.sparkSession, _crossings(lines, long_files), "runs-blocks"))
+        info = _small(cut(lines.sparkSession, _crossings(lines, long_files, years), "runs-blocks"))
         e = _with_tail(e.join(info, [*_FB], "left"), w)
         before, after, seq0 = F.col("before"), F.col("after"), F.coalesce(F.col("seq0"), F.lit(0))
     e = e.withColumn("key", _key(e))

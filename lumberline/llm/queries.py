@@ -39,7 +39,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log with every run collapsed to one event: its count and duration."""
-    return event_runs(spread(_log(spark, sf_dir)))
+    return event_runs(spread(_log(spark, sf_dir)), table(spark, sf_dir, "files"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,23 @@ def test_runs_of_two_line_headers(spark, monkeypatch, bits):
     assert got == [("a", 2, 51, 25, "error"), ("a", 52, 81, 15, "debug"), ("b", 1, 50, 25, "error"), ("b", 51, 80, 15, "debug")]
 
 
+@pytest.mark.parametrize("bits", [16, 2])
+def test_times_of_runs_without_year(spark, monkeypatch, bits):
+    """Three layouts without a year over 29 February, in a leap year, another year and an unknown one."""
+    texts = ["Feb 28 23:59:50 n x[1]: info: up 1", "Feb 29 00:00:00 n x[1]: info: up 2", "Mar  1 00:00:10 n x[1]: info: up 3", "W0618 02:34:28.500000 20162 t.cc:376] m", "08-27 03:26:19.286  9422  9456 F R: m", "2023-01-01 00:00:01 [INFO] a - b"]
+    for m in (le, er):
+        monkeypatch.setattr(m, "BLOCK_BITS", bits)
+        monkeypatch.setattr(m, "BLOCK", 1 << bits)
+    df = spark.createDataFrame([(i, f, i + 1, t) for f in ("leap", "other", "lost") for i, t in enumerate(texts)], "id bigint, file_path string, line_number bigint, content string")
+    files = spark.createDataFrame([(1, "leap", 1720000000), (1, "leap", 1720000000), (2, "leap", 1620000000), (3, "other", 1680000000), (4, "lost", None)], "id bigint, virtual_path string, modified_time bigint")
+    runs = er.event_runs(df, files).collect()
+    starts = {(r.file_path, r.first_line): r.ts_ms for r in le.log_entries(df, files).collect()}
+    assert len(runs) == 12 and all(r.first_ms == starts[r.file_path, r.first_line] for r in runs)
+    got = {(r.file_path, r.first_line): (r.n_events, r.first_ms, r.duration_ms) for r in runs}
+    assert got["leap", 1] == (3, 1709164790000, 86_420_000) and got["leap", 4][:2] == (1, 1718678068500)
+    assert got["other", 1] == (3, 1677628790000, 20_000)
+
+
 def test_event_runs_of_nothing(spark):
     df = spark.createDataFrame([], "id bigint, file_path string, line_number bigint, content string")
     assert er.event_runs(df).collect() == []
