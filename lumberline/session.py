@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -27,26 +28,63 @@ def local_session(cpus: int | str = 8, partitions: int = 8, **conf: str) -> Spar
     return b.getOrCreate()
 
 
+#: Folders made here because the session names none, by application; tests and single machines only.
+_own: dict[str, str] = {}
+#: Folders of written tables that this process made, by application.
+_runs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir`` of the session, else one of our own (tests only)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder every executor sees: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a session on one machine gets a folder of its own; a cluster raises ``ValueError``, as no folder
+    of the driver's machine would do there.
+    """
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = tempfile.mkdtemp(prefix="lumberline-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = tempfile.mkdtemp(prefix="lumberline-")
+        at = _own[sc.applicationId]
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's written tables, within the shared one; it goes when the process ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _runs:
+        _runs[app] = f"{shared_dir(spark)}/lumberline-{uuid.uuid4().hex}"
+        atexit.register(clear_run, spark)
+    return _runs[app]
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Delete all tables that ``cut`` has written for this application: once nothing made of them is read any more."""
+    if spark.sparkContext._jsc is not None and (at := _runs.pop(spark.sparkContext.applicationId, None)):
+        delete_path(spark, at)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
     at = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._lumberline_path = at
+    return out
+
+
+def drop_cut(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written and that nothing reads any more."""
+    for df in tables:
+        delete_path(df.sparkSession, df._lumberline_path)
 
 
 def spread(df: DataFrame) -> DataFrame:
