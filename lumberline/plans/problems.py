@@ -20,12 +20,12 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives and files whose chain of parents or depth is wrong."""
-    return hierarchy.findings(_nodes(spark, sf_dir))
+    return hierarchy.findings(hierarchy.hierarchy(table(spark, sf_dir, "archives"), table(spark, sf_dir, "files"), paths=False))
 
 
 def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every archive and file with its path, true depth, root, range and number of descendants."""
-    return _nodes(spark, sf_dir).drop("ring_at")
+    return _nodes(spark, sf_dir).drop("ring_at", "top_rgt")
 
 
 def p1_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def p1_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All archives and files below each archive, with their distance; the SQL has those on and below no cycle only."""
+    """All archives and files below each archive, with their distance, on and below cycles, too."""
     return hierarchy.all_descendants(cut(spark, _nodes(spark, sf_dir), "nodes"))
 
 
@@ -95,11 +95,33 @@ up AS (SELECT id AS node, id AS over FROM a UNION ALL SELECT id, up FROM reach),
 below AS (SELECT u.over AS id, count(*) AS n FROM up u JOIN f ON f.parent = u.node GROUP BY 1),
 under AS (SELECT up AS id, count(*) AS n FROM reach GROUP BY 1)
 SELECT w.id AS node_id, w.depth, w.root_id, coalesce(b.n, 0) + coalesce(u.n, 0) AS n_descendants, w.path FROM walk w LEFT JOIN below b ON b.id = w.id LEFT JOIN under u ON u.id = w.id""",
-    "p1_descendants": f"""WITH RECURSIVE {_REACH}, {_FILES}, {_STATE},
-pairs(anc, id, distance) AS (SELECT parent, id, CAST(1 AS BIGINT) FROM a WHERE parent IN (SELECT id FROM state WHERE state IN ('tree', 'orphan')) UNION ALL SELECT p.anc, a.id, p.distance + 1 FROM pairs p JOIN a ON a.parent = p.id)
-SELECT anc AS ancestor_id, 'archive' AS node_kind, id AS node_id, distance FROM pairs
-UNION ALL SELECT f.parent, 'file', f.id, 1 FROM f JOIN state s ON s.id = f.parent AND s.state IN ('tree', 'orphan')
-UNION ALL SELECT p.anc, 'file', f.id, p.distance + 1 FROM pairs p JOIN f ON f.parent = p.id""",
+    "p1_descendants": f"""WITH RECURSIVE {_ARCHIVES}, {_FILES},
+pairs(kind, id, anc, distance, seen) AS (
+  SELECT 'archive', id, parent, CAST(1 AS BIGINT), [id] FROM a WHERE parent IN (SELECT id FROM a) AND parent <> id
+  UNION ALL SELECT 'file', f.id, f.parent, 1, CAST([] AS BIGINT[]) FROM f WHERE f.parent IN (SELECT id FROM a)
+  UNION ALL SELECT p.kind, p.id, a.parent, p.distance + 1, list_append(p.seen, p.anc) FROM pairs p JOIN a ON a.id = p.anc
+  WHERE a.parent IN (SELECT id FROM a) AND NOT list_contains(p.seen, a.parent) AND a.parent <> p.anc)
+SELECT anc AS ancestor_id, kind AS node_kind, id AS node_id, distance FROM pairs""",
+    "p1_hierarchy": f"""WITH RECURSIVE {_REACH}, {_FILES.replace("max(depth_level) AS depth_level", "max(depth_level) AS depth_level, max(original_name) AS name")}, {_STATE},
+t AS (
+  SELECT a.id, CASE WHEN s.state = 'cycle' OR a.parent NOT IN (SELECT id FROM a) THEN NULL ELSE a.parent END AS up, '/' || coalesce(a.name, '#' || a.id) AS name, s.state, s.ring_root, s.lost, a.depth_level,
+    (SELECT count(*) FROM f WHERE f.parent = a.id) AS leaves
+  FROM a JOIN state s ON s.id = a.id),
+under(id, over) AS (SELECT id, id FROM t UNION ALL SELECT u.id, t.up FROM under u JOIN t ON t.id = u.over WHERE t.up IS NOT NULL),
+sizes AS (SELECT u.over AS id, CAST(sum(1 + t.leaves) AS BIGINT) AS size FROM under u JOIN t ON t.id = u.id GROUP BY 1),
+ranks AS (SELECT t.*, z.size, CAST(sum(z.size) OVER (PARTITION BY t.up ORDER BY t.id) AS BIGINT) - z.size AS ahead FROM t JOIN sizes z ON z.id = t.id),
+walk(id, path, depth, top_id, lft) AS (
+  SELECT id, name, CAST(0 AS BIGINT), id, CAST(1 AS BIGINT) FROM ranks WHERE up IS NULL
+  UNION ALL SELECT r.id, w.path || r.name, w.depth + 1, w.top_id, w.lft + 1 + p.leaves + r.ahead FROM walk w JOIN ranks p ON p.id = w.id JOIN ranks r ON r.up = w.id),
+rings AS (SELECT ring_root, CAST(sum(size) AS BIGINT) AS ring_size FROM ranks WHERE state = 'cycle' GROUP BY 1),
+arch AS (
+  SELECT w.*, r.state, r.depth_level, r.size, CASE r.state WHEN 'orphan' THEN r.lost WHEN 'tree' THEN w.top_id ELSE r.ring_root END AS root_id, CASE r.state WHEN 'cycle' THEN g.ring_size ELSE r.size END - 1 AS n_descendants
+  FROM walk w JOIN ranks r ON r.id = w.id LEFT JOIN rings g ON g.ring_root = r.ring_root)
+SELECT 'archive' AS node_kind, id AS node_id, path, depth_level, state, depth, root_id, top_id, lft, lft + size AS rgt, n_descendants FROM arch
+UNION ALL SELECT 'file', f.id, coalesce(w.path, '') || '/' || coalesce(f.name, '#' || f.id), f.depth_level, CASE WHEN f.parent IS NULL THEN 'tree' WHEN w.id IS NULL THEN 'orphan' WHEN w.state = 'cycle' THEN 'under_cycle' ELSE w.state END,
+  coalesce(w.depth + 1, 0), CASE WHEN f.parent IS NULL THEN NULL WHEN w.id IS NULL THEN f.parent ELSE w.root_id END, w.top_id,
+  coalesce(w.lft + row_number() OVER (PARTITION BY f.parent ORDER BY f.id), 1), coalesce(w.lft + row_number() OVER (PARTITION BY f.parent ORDER BY f.id), 1) + 1, 0
+FROM f LEFT JOIN arch w ON w.id = f.parent""",
     "p3_found": f"SELECT file_id FROM ({_CONTENTS})",
     "p3_trace": f"WITH c AS ({_CONTENTS}), f AS (SELECT DISTINCT id AS file_id, virtual_path, {_DIGEST} AS digest FROM files WHERE id IS NOT NULL AND sha256_hash IS NOT NULL) SELECT f.digest, f.file_id, f.virtual_path, c.file_id AS content_id FROM f JOIN c ON c.digest = f.digest",
 }

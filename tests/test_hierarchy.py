@@ -136,3 +136,23 @@ def test_descendants_on_and_below_cycles(spark):
     for r in nodes.where("state = 'under_cycle'").collect():
         top = archives[r.top_id]
         assert top.state == "cycle" and top.lft < r.lft < r.rgt <= top.rgt
+
+
+def test_chain_of_ten_thousand_and_sparse_ids(spark):
+    """Rounds are logarithmic in the depth; siblings of ids far apart still come in their order."""
+    step = 7_000_003 * 65_537
+    parents = {i * step: (i - 1) * step if i > 1 else None for i in range(1, 10_001)}
+    parents |= {-i * step: step for i in range(1, 3001)}
+    got = {r.node_id: r for r in hierarchy.hierarchy(*make(spark, parents, {1: step, 2: None}), paths=False).where("node_kind = 'archive'").collect()}
+    assert got[10_000 * step].depth == 9999 and got[step].n_descendants == 13_000 and got[step].top_rgt == got[step].rgt == 13_002
+    kids = [got[-i * step] for i in range(3000, 0, -1)] + [got[2 * step]]
+    assert [r.lft for r in kids] == list(range(3, 3 + len(kids)))
+
+
+def test_long_way_into_a_cycle(spark):
+    """Chains into cycles that are longer than any chain in a tree."""
+    parents = {1: 2, 2: 3, 3: 1} | {i: i - 1 for i in range(4, 200)} | {300: None}
+    got = {r.node_id: r for r in hierarchy.hierarchy(*make(spark, parents, {1: 199})).where("node_kind = 'archive'").collect()}
+    assert got[199].depth == 196 and got[199].state == "under_cycle" and got[199].root_id == 1 and got[199].top_id == 3
+    assert got[3].n_descendants == got[1].n_descendants == 199 and got[4].n_descendants == 196
+    assert [got[i].rgt - got[i].lft for i in (1, 2, 3)] == [1, 1, 198]
