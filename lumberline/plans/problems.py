@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumberline.operators import compaction, hierarchy
 from lumberline.operators.log_entries import entry_messages, log_entries
-from lumberline.session import cut, spread
+from lumberline.session import cut, scratch_path, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The content each path of a merged content leads to."""
     files = table(spark, sf_dir, "files")
-    return compaction.trace(files, compaction.consolidate(files)).drop("container")
+    return compaction.trace(files, compaction.consolidate(files)).drop("container", "begin")
+
+
+def p3_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many contents and bytes each container holds."""
+    return compaction.containers(compaction.consolidate(table(spark, sf_dir, "files")))
+
+
+def p3_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, written as small files of about 64 KB, out of the few files these were consolidated to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    small = scratch_path(spark, "small-files")
+    docs.select(F.to_json(F.struct("doc_id", "text")).alias("value")).repartition(1 + n_bytes // compaction.SMALL).write.text(small)
+    few = compaction.compact_directory(spark, small, scratch_path(spark, "few-files"), glob="*.txt")
+    line = few.select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("value")).where(F.col("value") != "")
+    return line.select(F.from_json("value", "doc_id bigint, text string").alias("x")).select("x.doc_id", F.sha2("x.text", 256).alias("digest"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +78,7 @@ def p4_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entry_messages(spread(log), table(spark, sf_dir, "files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_depths, p1_descendants, p3_found, p3_trace, p4_found, p4_messages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_depths, p1_descendants, p3_found, p3_trace, p3_containers, p3_directory, p4_found, p4_messages)}
 
 _ARCHIVES = "a AS (SELECT id, max(parent_archive_id) AS parent, max(depth_level) AS depth_level, max(original_name) AS name FROM archives WHERE id IS NOT NULL GROUP BY id)"
 _REACH = f"{_ARCHIVES}, reach(id, up) AS (SELECT id, parent FROM a WHERE parent IS NOT NULL UNION SELECT r.id, a.parent FROM reach r JOIN a ON a.id = r.up WHERE a.parent IS NOT NULL)"
@@ -123,5 +139,7 @@ UNION ALL SELECT 'file', f.id, coalesce(w.path, '') || '/' || coalesce(f.name, '
   coalesce(w.lft + row_number() OVER (PARTITION BY f.parent ORDER BY f.id), 1), coalesce(w.lft + row_number() OVER (PARTITION BY f.parent ORDER BY f.id), 1) + 1, 0
 FROM f LEFT JOIN arch w ON w.id = f.parent""",
     "p3_found": f"SELECT file_id FROM ({_CONTENTS})",
+    "p3_containers": f"WITH c AS (SELECT *, sum(size) OVER (ORDER BY file_id) - size AS b FROM ({_CONTENTS.replace('AS file_id', 'AS file_id, max(CASE WHEN size BETWEEN 1 AND 65535 THEN size END) AS size')})) SELECT CAST(b // {compaction.TARGET_BYTES} AS BIGINT) AS container, count(*) AS n_contents, CAST(sum(size) AS BIGINT) AS bytes FROM c GROUP BY 1",
+    "p3_directory": "SELECT doc_id, sha256(text) AS digest FROM documents",
     "p3_trace": f"WITH c AS ({_CONTENTS}), f AS (SELECT DISTINCT id AS file_id, virtual_path, {_DIGEST} AS digest FROM files WHERE id IS NOT NULL AND sha256_hash IS NOT NULL) SELECT f.digest, f.file_id, f.virtual_path, c.file_id AS content_id FROM f JOIN c ON c.digest = f.digest",
 }

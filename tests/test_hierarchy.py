@@ -156,3 +156,42 @@ def test_long_way_into_a_cycle(spark):
     assert got[199].depth == 196 and got[199].state == "under_cycle" and got[199].root_id == 1 and got[199].top_id == 3
     assert got[3].n_descendants == got[1].n_descendants == 199 and got[4].n_descendants == 196
     assert [got[i].rgt - got[i].lft for i in (1, 2, 3)] == [1, 1, 198]
+
+
+def test_files_reach_the_target(spark, tmp_path):
+    """28 MB in 40 files over 8 cores become one file of the default target, and few of a smaller one."""
+    src = str(tmp_path / "src")
+    spark.range(440_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).repartition(40).write.parquet(src)
+    df = spark.read.parquet(src)
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    assert compaction.compact(df, str(tmp_path / "one"))["n"] == 440_000
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst") == kept
+    assert len(spark.read.parquet(str(tmp_path / "one")).inputFiles()) == 1
+    compaction.compact(df, str(tmp_path / "some"), target_bytes=8 << 20)
+    sizes = [p.stat().st_size for p in (tmp_path / "some").glob("*.parquet")]
+    assert 2 <= len(sizes) <= 6 and max(sizes) < 16 << 20
+
+
+def test_a_failed_commit_leaves_the_old_data(spark, tmp_path, monkeypatch):
+    out = tmp_path / "out"
+    compaction.compact(spark.range(3), str(out))
+    compaction.compact(spark.range(4), str(out))
+    assert spark.read.parquet(str(out)).count() == 4
+
+    def lost(s, stage, path):
+        return compaction_replace(s, stage + "-lost", path)
+
+    compaction_replace = compaction.replace_path
+    monkeypatch.setattr(compaction, "replace_path", lost)
+    with pytest.raises(Exception):
+        compaction.compact(spark.range(9), str(out))
+    assert spark.read.parquet(str(out)).count() == 4 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_contents_laid_in_containers(spark):
+    items = spark.createDataFrame([(i * 10**12, 1 + i % 7) for i in range(500)], "file_id bigint, size bigint")
+    got = {r.file_id: (r.container, r.begin) for r in compaction.in_containers(items, 100).collect()}
+    at = 0
+    for i in range(500):
+        assert got[i * 10**12] == (at // 100, at % 100)
+        at += 1 + i % 7
