@@ -13,6 +13,7 @@ entry; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,31 +30,39 @@ _SEP = "\x01"
 BOM_FORMS = ("﻿", "￾", "ï»¿", "Ã¯Â»Â¿", "∩╗┐", "´╗┐", "п»ї", "я╗┐", "О╩©", "ď»ż", "ο»Ώ", "Ôªø", "锘�", "锘", "���")
 _BOM = "(?:" + "|".join(BOM_FORMS) + ")?"
 
-_MON = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+_MON = "(?<month>Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 _DOW = "(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)"
-_MM, _DD = "(0[1-9]|1[0-2])", "(0[1-9]|[12]\\d|3[01])"
-_CLOCK = "([01]?\\d|2[0-3]):([0-5]\\d):([0-5]\\d|60)"
-_FRAC = "(?:[.,](\\d{1,9}))?"
-_TZ = " ?(Z|UTC|GMT|[+-]\\d\\d:?\\d\\d)?"
-_LV = "([A-Za-z]{1,9})"
-_ISO = f"(\\d{{4}})-{_MM}-{_DD}[ T]{_CLOCK}{_FRAC}{_TZ}"
-_YMD = f"(\\d{{4}})/{_MM}/{_DD} {_CLOCK}{_FRAC}{_TZ}"
+_YEAR, _MM, _DD = "(?<year>\\d{4})", "(?<month>0[1-9]|1[0-2])", "(?<day>0[1-9]|[12]\\d|3[01])"
+_CLOCK = "(?<hour>[01]?\\d|2[0-3]):(?<minute>[0-5]\\d):(?<second>[0-5]\\d|60)"
+_FRAC = "(?:[.,](?<frac>\\d{1,9}))?"
+_TZ = " ?(?<tz>Z|UTC|GMT|[+-]\\d\\d:?\\d\\d)?"
+_ISO = f"{_YEAR}-{_MM}-{_DD}[ T]{_CLOCK}{_FRAC}{_TZ}"
+_YMD = f"{_YEAR}/{_MM}/{_DD} {_CLOCK}{_FRAC}{_TZ}"
+
+
+def _lv(n: int | str = "") -> str:
+    return f"(?<level{n}>[A-Za-z]{{1,9}})"
+
+
+def _co(pattern: str, n: int | str = "") -> str:
+    return f"(?<component{n}>{pattern})"
+
+
 
 FIELDS = ("year", "month", "day", "hour", "minute", "second", "frac", "tz", "ampm", "level", "component", "message", "epoch")
 
 
 @dataclass(frozen=True)
 class Family:
-    """Layouts that share a beginning, as one expression.
+    """Layouts that share a beginning, as one expression with a named group for each field.
 
-    ``test`` is a cheap look at single characters that sends a line to the family; ``parts`` has the field of each
-    capturing group in turn, and a field of several groups (one for each alternative) is their concatenation.
+    ``test`` is a cheap look at single characters that sends a line to the family.  A field that each of several
+    alternatives has is in groups with a number (``level1``, ``level2``); it is what their groups have together.
     """
 
     name: str
     test: str
     pattern: str
-    parts: str
 
     @property
     def regex(self) -> str:
@@ -61,36 +70,32 @@ class Family:
 
     @property
     def rewrite(self) -> str:
-        short = {"Y": "year", "M": "month", "D": "day", "h": "hour", "m": "minute", "s": "second", "f": "frac", "z": "tz", "p": "ampm", "L": "level", "C": "component", "T": "message", "E": "epoch"}
-        groups: dict[str, str] = {}
-        for i, c in enumerate(self.parts, 1):
-            if c != "-":
-                groups[short[c]] = groups.get(short[c], "") + f"${i}"
-        return _SEP + self.name + "".join(_SEP + groups.get(f, "") for f in FIELDS)
+        groups = re.findall(r"\(\?<([a-z]+\d*)>", self.pattern)
+        return _SEP + self.name + "".join(_SEP + "".join(f"${{{g}}}" for g in groups if g.rstrip("0123456789") == f) for f in FIELDS)
 
 
-_TAIL = "(?: (.*))?"
+_TAIL = "(?: (?<message>.*))?"
 _DATED = "|".join((
-    f"\\[{_LV} *\\] ([^ ]+) -",  # [LEVEL] component - message
-    f"{_LV} +\\[[^\\]]*\\] ([^ ]+) -",  # LEVEL [thread] component - message
-    f"\\x1b\\[[0-9;]*m{_LV} *\\x1b\\[[0-9;]*m ([^ ]+) >",  # coloured LEVEL component > message
-    f"<{_LV}> \\(([^)]*)\\)",  # <LEVEL> (component) message
-    f"{_LV} ([^ :]+):",  # level component: message
+    f"\\[{_lv(1)} *\\] {_co('[^ ]+', 1)} -",  # [LEVEL] component - message
+    f"{_lv(2)} +\\[[^\\]]*\\] {_co('[^ ]+', 2)} -",  # LEVEL [thread] component - message
+    f"\\x1b\\[[0-9;]*m{_lv(3)} *\\x1b\\[[0-9;]*m {_co('[^ ]+', 3)} >",  # coloured LEVEL component > message
+    f"<{_lv(4)}> \\({_co('[^)]*', 4)}\\)",  # <LEVEL> (component) message
+    f"{_lv(5)} {_co('[^ :]+', 5)}:",  # level component: message
 ))
 _QUOTED = "\"(?:[^\"\\\\]|\\\\.)*+\"?"
 FAMILIES = (
-    Family("dated", "substr(content, 5, 1) = '-' AND substr(content, 8, 1) = '-'", f"{_ISO} (?:{_DATED}){_TAIL}", "YMDhmsfz" + "LC" * 5 + "T"),
-    Family("slashed", "substr(content, 5, 1) = '/'", f"{_YMD} (?:([A-Z])/([^( ]+)\\( *\\d+\\):|\\[{_LV}\\] \\d+#\\d+: ([^ ]+):){_TAIL}", "YMDhmsfz" + "LC" * 2 + "T"),
-    Family("logfmt", "startswith(content, 'time=') OR startswith(content, 'ts=')", f"(?:time|ts)=\"?{_ISO}\"? level=\"?{_LV}\"? (?:component|src|logger|module)=\"?([^ \"]+)\"? (?:[^ =]+=[^ \"]+ )*?msg=({_QUOTED}|[^ ]*).*", "YMDhmsfzLCT"),
-    Family("device", "substr(content, 3, 1) = '-'", f"{_MM}-{_DD} {_CLOCK}{_FRAC} +\\d+ +\\d+ ([A-Z]) ([^ ]+?) *:{_TAIL}", "MDhmsfLCT"),
-    Family("piped", "substr(content, 3, 1) = '/'", f"{_DD}/{_MM}/(\\d{{4}}) {_CLOCK}{_FRAC}{_TZ} \\| {_LV} *\\| ([^ |]+) *\\|{_TAIL}", "DMYhmsfzLCT"),
-    Family("syslog", "substr(content, 1, 1) = '<'", f"<(\\d{{1,3}})>1 {_ISO} [^ ]+ ([^ ]+) [^ ]+ [^ ]+ (?:-|(?:\\[(?:[^\\]\\\\]|\\\\.)*+\\])+){_TAIL}", "LYMDhmsfzCT"),
-    Family("web", "substr(content, 1, 1) = '['", f"\\[{_DOW} {_MON} ([ 0-3]\\d) {_CLOCK}{_FRAC} (\\d{{4}})\\] \\[([^:\\]]+):{_LV}\\] \\[pid [^\\]]*\\]{_TAIL}", "MDhmsfYCLT"),
-    Family("twoline", "substr(content, 4, 1) = ' ' AND (substr(content, 7, 1) = ',' OR substr(content, 6, 1) = ',')", f"{_MON} ([ 0-3]?\\d), (\\d{{4}}) {_CLOCK}{_FRAC} ([AP]M) ([^ ]+) ([^ ]+)\\s*", "MDYhmsfpC-"),
-    Family("bsd", "substr(content, 4, 1) = ' '", f"{_MON} ([ 0-3]\\d) {_CLOCK} [^ ]+ ([^ \\[:]+)(?:\\[\\d+\\])?: {_LV}:{_TAIL}", "MDhmsCLT"),
-    Family("letter", "substr(content, 6, 1) = ' ' AND substr(content, 9, 1) = ':'", f"([A-Z]){_MM}{_DD} {_CLOCK}{_FRAC} +\\d+ ([^ :]+):\\d+\\]{_TAIL}", "LMDhmsfCT"),
-    Family("compact", "substr(content, 9, 1) = ' ' AND substr(content, 12, 1) = ':'", f"(\\d{{4}}){_MM}{_DD} {_CLOCK}{_FRAC}{_TZ} {_LV} \\(([^)]*)\\){_TAIL}", "YMDhmsfzLCT"),
-    Family("epoch", "substr(content, 10, 1) = '.' OR substr(content, 11, 1) = '.' OR substr(content, 12, 1) = '.'", f"(\\d{{9,11}})\\.(\\d{{1,9}}) ([^ /]+)/{_LV} ::{_TAIL}", "EfCLT"),
+    Family("dated", "substr(content, 5, 1) = '-' AND substr(content, 8, 1) = '-'", f"{_ISO} (?:{_DATED}){_TAIL}"),
+    Family("slashed", "substr(content, 5, 1) = '/'", f"{_YMD} (?:(?<level1>[A-Z])/{_co('[^( ]+', 1)}\\( *\\d+\\):|\\[{_lv(2)}\\] \\d+#\\d+: {_co('[^ ]+', 2)}:){_TAIL}"),
+    Family("logfmt", "startswith(content, 'time=') OR startswith(content, 'ts=')", f"(?:time|ts)=\"?{_ISO}\"? level=\"?{_lv()}\"? (?:component|src|logger|module)=\"?{_co('[^ \"]+')}\"? (?:[^ =]+=[^ \"]+ )*?msg=(?<message>{_QUOTED}|[^ ]*).*"),
+    Family("device", "substr(content, 3, 1) = '-'", f"{_MM}-{_DD} {_CLOCK}{_FRAC} +\\d+ +\\d+ (?<level>[A-Z]) {_co('[^ ]+?')} *:{_TAIL}"),
+    Family("piped", "substr(content, 3, 1) = '/'", f"{_DD}/{_MM}/{_YEAR} {_CLOCK}{_FRAC}{_TZ} \\| {_lv()} *\\| {_co('[^ |]+')} *\\|{_TAIL}"),
+    Family("syslog", "substr(content, 1, 1) = '<'", f"<(?<level>\\d{{1,3}})>1 {_ISO} [^ ]+ {_co('[^ ]+')} [^ ]+ [^ ]+ (?:-|(?:\\[(?:[^\\]\\\\]|\\\\.)*+\\])+){_TAIL}"),
+    Family("web", "substr(content, 1, 1) = '['", f"\\[{_DOW} {_MON} (?<day>[ 0-3]\\d) {_CLOCK}{_FRAC} {_YEAR}\\] \\[{_co('[^:\\]]+')}:{_lv()}\\] \\[pid [^\\]]*\\]{_TAIL}"),
+    Family("twoline", "substr(content, 4, 1) = ' ' AND (substr(content, 7, 1) = ',' OR substr(content, 6, 1) = ',')", f"{_MON} (?<day>[ 0-3]?\\d), {_YEAR} {_CLOCK}{_FRAC} (?<ampm>[AP]M) {_co('[^ ]+')} [^ ]+\\s*"),
+    Family("bsd", "substr(content, 4, 1) = ' '", f"{_MON} (?<day>[ 0-3]\\d) {_CLOCK} [^ ]+ {_co('[^ \\[:]+')}(?:\\[\\d+\\])?: {_lv()}:{_TAIL}"),
+    Family("letter", "substr(content, 6, 1) = ' ' AND substr(content, 9, 1) = ':'", f"(?<level>[A-Z]){_MM}{_DD} {_CLOCK}{_FRAC} +\\d+ {_co('[^ :]+')}:\\d+\\]{_TAIL}"),
+    Family("compact", "substr(content, 9, 1) = ' ' AND substr(content, 12, 1) = ':'", f"{_YEAR}{_MM}{_DD} {_CLOCK}{_FRAC}{_TZ} {_lv()} \\({_co('[^)]*')}\\){_TAIL}"),
+    Family("epoch", "substr(content, 10, 1) = '.' OR substr(content, 11, 1) = '.' OR substr(content, 12, 1) = '.'", f"(?<epoch>\\d{{9,11}})\\.(?<frac>\\d{{1,9}}) {_co('[^ /]+')}/{_lv()} ::{_TAIL}"),
 )
 
 # The level words, numbers and letters of each level.
@@ -150,7 +155,7 @@ def _json_parts(j: Column) -> Column:
     """The same parts of a structured line that ``_JSON_SCHEMA`` has read."""
     at = F.coalesce(j["ts"], j["@timestamp"], j["timestamp"], j["time"])
     level, comp = F.coalesce(j["level"], j["severity"]), F.coalesce(j["logger"], j["component"], j["module"])
-    time = F.split(F.regexp_replace(at, f"^{_ISO}$", _SEP.join(f"${i}" for i in range(1, 9))), _SEP)
+    time = F.split(F.regexp_replace(at, f"^{_ISO}$", _SEP.join(f"${{{n}}}" for n in FIELDS[:8])), _SEP)
     number = at.rlike("^\\d{12,14}$")
     none = F.array(*[F.lit("")] * 6)
     parts = F.when(number, F.concat(none, F.array(F.right(at, F.lit(3)), F.lit("")))).when(F.size(time) == 8, time)
@@ -217,27 +222,11 @@ def _file_years(files: DataFrame) -> DataFrame:
     return t.select("file_path", F.year(F.timestamp_seconds("_m")).alias("year"))
 
 
-def block_table(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """A row for each block of each file: ``file_path, blk, max_line, year, next_head, next_second``.
-
-    ``next_head`` is the first header line of any later block, ``next_second`` level and message of the next block's
-    first line where that is the second of a header.  They need lines from ``BLOCK`` on only, so a second evaluation of the expressions touches nothing but the tails of very long files.
-    """
-    at = lines.where(F.col("file_path").isNotNull() & F.col("line_number").isNotNull())
-    ends = at.groupBy("file_path").agg(F.max("line_number").alias("max_line"))
-    ends = ends.join(_file_years(files), "file_path", "left")
-    blocks = ends.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright("max_line", BLOCK_BITS))).alias("blk"))
-    head = is_head(F.col("layout"))
-    edge = (F.col("layout") == "second") & (F.col("line_number") == F.shiftleft("blk", BLOCK_BITS))
-    late = parse_lines(lines.where(F.col("line_number") >= BLOCK)).where(head | edge)
-    firsts = late.groupBy("file_path", "blk").agg(F.min(F.when(head, F.col("line_number"))).alias("next_head"), F.max(F.when(edge, F.struct("level", "message"))).alias("_s"))
-    ahead = Window.partitionBy("file_path").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.last(F.when(F.col("next_head").isNotNull(), F.col("blk")), ignorenulls=True).over(ahead), F.lit(0))
-    last = F.col("blk") - 1
-    spread = firsts.withColumn("_b", F.when(F.col("next_head").isNotNull(), before).otherwise(last)).withColumn("_e", last)
-    spread = spread.select("file_path", "next_head", "_s", "_e", F.explode(F.sequence("_b", "_e")).alias("blk"))
-    spread = spread.groupBy("file_path", "blk").agg(F.min("next_head").alias("next_head"), F.max(F.when(F.col("blk") == F.col("_e"), F.col("_s"))).alias("next_second"))
-    return blocks.join(spread, ["file_path", "blk"], "left")
+def block_years(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """``file_path, blk, year`` of each block of the files whose year is known, so that no file's rows come together."""
+    ends = lines.where(F.col("file_path").isNotNull()).groupBy("file_path").agg(F.max("line_number").alias("_m"))
+    d = ends.join(_file_years(files), "file_path")
+    return d.select("file_path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright("_m", BLOCK_BITS))).alias("blk"), "year")
 
 
 def _timed(d: DataFrame) -> Column:
@@ -245,46 +234,97 @@ def _timed(d: DataFrame) -> Column:
     return F.when(F.col("month").isNull(), F.col("ts_ms")).otherwise(_day_ms(year, F.col("month"), F.col("day")) + F.col("ts_ms"))
 
 
-def log_entries(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """One row for each entry: ``file_path, first_line, last_line, ts_ms, level, component, message`` (of the header).
+def _groups(lines: DataFrame, files: DataFrame, texts: bool, message: bool) -> DataFrame:
+    """Each block's lines in groups: a row for each header with the lines up to the next in its block, and one (``grp``
+    0) for the lines ahead of the block's first header, which belong to an entry of an earlier block.
 
-    One shuffle of the header rows on (file, block); the block table joins on the same keys.
+    The running count of headers in a block is the number of a line's group.  One shuffle, on (file, block).
+    ``at_end``: whether it is the block's last group.  ``text`` (with ``texts``): the lines in order, joined.
     """
-    heads = parse_lines(lines).where(F.col("layout").isNotNull()).drop("content")
-    d = heads.repartition("file_path", "blk")
+    d, head, second = parse_lines(lines), is_head(F.col("layout")), F.col("layout") == "second"
+    parts = ["layout", "ts_ms", "month", "day", "level", "component"]
+    keep = [F.when(F.col("layout").isNotNull(), F.col("message")).alias("message")] if message or texts else []
+    d = d.select("file_path", "blk", "line_number", *parts, *keep, *(["content"] if texts else [])).repartition("file_path", "blk")
     w = Window.partitionBy("file_path", "blk").orderBy("line_number")
-    d = d.withColumn("_p", F.lag("line_number").over(w)).where(F.col("_p").isNull() | (F.col("_p") != F.col("line_number")))
-    nxt = F.lead(F.struct("line_number", "layout", "level", "message")).over(w)
-    d = d.withColumn("_n", nxt).where(is_head(F.col("layout")))
-    two = (F.col("layout") == "twoline") & (F.col("_n.layout") == "second") & (F.col("_n.line_number") == F.col("line_number") + 1)
-    d = d.withColumn("level", F.when(two, F.col("_n.level")).otherwise(F.col("level")))
-    d = d.withColumn("message", F.when(two, F.col("_n.message")).otherwise(F.col("message")))
-    d = d.withColumn("_next", F.lead("line_number").over(w))
-    d = d.join(block_table(lines, files), ["file_path", "blk"], "left")
-    over = (F.col("layout") == "twoline") & F.col("next_second").isNotNull() & (F.col("line_number") + 1 == F.shiftleft(F.col("blk") + 1, BLOCK_BITS))
-    d = d.withColumn("level", F.when(over, F.col("next_second.level")).otherwise(F.col("level")))
-    d = d.withColumn("message", F.when(over, F.col("next_second.message")).otherwise(F.col("message")))
-    last = F.coalesce(F.col("_next") - 1, F.col("next_head") - 1, F.col("max_line"))
-    return d.select("file_path", F.col("line_number").alias("first_line"), last.alias("last_line"), _timed(d).alias("ts_ms"), "level", "component", "message")
+    d = d.withColumn("_p", F.lag(F.struct("line_number", "layout")).over(w)).where(F.col("_p").isNull() | (F.col("_p.line_number") != F.col("line_number")))
+    one = F.when(head, 1).otherwise(0)
+    d = d.withColumn("grp", F.sum(one).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum(one).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    two = ["line_number", "level", *(["message"] if message or texts else [])]
+    more = []
+    if texts:
+        after = (F.col("_p.layout") == "twoline") & (F.col("_p.line_number") + 1 == F.col("line_number"))
+        text = F.when(head, F.when(F.col("layout") != "twoline", F.col("message"))).when(second & after, F.col("message")).otherwise(F.col("content"))
+        some = F.transform(F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("line_number", text.alias("t"))))), lambda x: x["t"])
+        more = [F.when(F.size(some) > 0, F.concat_ws("\n", some)).alias("text")]
+    g = d.groupBy("file_path", "blk", "grp").agg(
+        F.min("line_number").alias("first_line"), F.max("line_number").alias("last_line"), F.first(F.col("grp") == F.col("_all")).alias("at_end"),
+        F.max(F.when(head, F.struct(*parts, *(["message"] if message or texts else [])))).alias("h"), F.min(F.when(second, F.struct(*two))).alias("two"), *more,
+    )
+    g = g.join(block_years(lines, files), ["file_path", "blk"], "left")
+    here = (F.col("h.layout") == "twoline") & (F.col("two.line_number") == F.col("first_line") + 1)
+    d = g.select("*", "h.ts_ms", "h.month", "h.day")
+    said = [F.when(here, F.col("two.message")).otherwise(F.col("h.message")).alias("message")] if message or texts else []
+    ahead = F.when((F.col("grp") == 0) & (F.col("first_line") == F.shiftleft("blk", BLOCK_BITS)) & (F.col("two.line_number") == F.col("first_line")), F.col("two"))
+    return d.select(
+        "file_path", "blk", "grp", "at_end", "first_line", "last_line", _timed(d).alias("ts_ms"), F.when(here, F.col("two.level")).otherwise(F.col("h.level")).alias("level"), F.col("h.component").alias("component"), *said,
+        (F.col("h.layout") == "twoline").alias("twoline"), ahead.alias("ahead"), *(["text"] if texts else []),
+    )
+
+
+def _edges(groups: DataFrame) -> DataFrame:
+    """A row for each block: ``file_path, blk``, ``next_head`` (first header of any later block), ``max_line`` (of the
+    file), ``ahead`` (level and message of the next block's first line where it is the second of a header), ``owner``
+    (line and block of the header that the lines ahead of the block's first belong to)."""
+    b = groups.groupBy("file_path", "blk").agg(
+        F.min(F.when(F.col("grp") > 0, F.col("first_line"))).alias("_f"), F.max(F.when(F.col("grp") > 0, F.struct(F.col("first_line").alias("line"), "blk"))).alias("_o"),
+        F.max("last_line").alias("_m"), F.max("ahead").alias("_a"),
+    )
+    w = Window.partitionBy("file_path").orderBy("blk")
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    nxt = F.lead(F.struct("blk", "_a")).over(w)
+    return b.select(
+        "file_path", "blk", F.first("_f", ignorenulls=True).over(after).alias("next_head"), F.last("_m").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("max_line"),
+        F.when(nxt["blk"] == F.col("blk") + 1, nxt["_a"]).alias("ahead"), F.last("_o", ignorenulls=True).over(before).alias("owner"),
+    )
+
+
+def _entries(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """The groups that have a header, as whole entries: only the last of each block can go on in a later one."""
+    d = groups.where(F.col("grp") > 0)
+    inner, last = d.where(~F.col("at_end")).drop("ahead"), d.where(F.col("at_end")).drop("ahead")
+    e = last.join(edges.drop("owner"), ["file_path", "blk"])
+    over = F.col("twoline") & F.col("ahead").isNotNull() & (F.col("ahead.line_number") == F.col("first_line") + 1)
+    e = e.withColumn("last_line", F.coalesce(F.col("next_head") - 1, F.col("max_line"))).withColumn("over", F.coalesce(over, F.lit(False)))
+    for c in ("level", "message"):
+        if c in e.columns:
+            e = e.withColumn(c, F.when(F.col("over"), F.col(f"ahead.{c}")).otherwise(F.col(c)))
+    return inner.withColumn("over", F.lit(False)).unionByName(e.drop("next_head", "max_line", "ahead"))
+
+
+def log_entries(lines: DataFrame, files: DataFrame, message: bool = True) -> DataFrame:
+    """One row for each entry: ``file_path, first_line, last_line, ts_ms, level, component[, message]`` (of the header).
+
+    The lines cross one exchange, on (file, block); what crosses a block's edge is worked out from a row for each block.
+    """
+    groups = cut(lines.sparkSession, _groups(lines, files, False, message), "entry-groups")
+    columns = ["file_path", "first_line", "last_line", "ts_ms", "level", "component", *(["message"] if message else [])]
+    return _entries(groups, _edges(groups)).select(*columns)
 
 
 def entry_messages(lines: DataFrame, files: DataFrame) -> DataFrame:
     """``log_entries`` with the whole message: the header's and its continuation lines, joined by newlines.
 
-    A line finds its header in its block by a running maximum.  An entry that reaches into later blocks leaves a marker
-    at the start of each, so no block waits for another.  A message is as long as its entry.
+    What later blocks hold of an entry is one piece of text for each; no block waits for another.  A message is as
+    long as its entry.
     """
-    entries = cut(lines.sparkSession, log_entries(lines, files), "entries")
-    last, first = F.shiftright("last_line", BLOCK_BITS), F.shiftright("first_line", BLOCK_BITS)
-    marks = entries.where(last > first).select("file_path", F.explode(F.sequence(first + 1, last)).alias("blk"), F.col("first_line").alias("_h"))
-    marks = marks.select("file_path", "blk", (F.shiftleft("blk", BLOCK_BITS) - 1).alias("line_number"), "_h", F.lit(None).cast("string").alias("text"), F.lit(True).alias("_mark"))
-    d = parse_lines(lines)
-    text = F.when(is_head(F.col("layout")), F.when(F.col("layout") != "twoline", F.col("message"))).when(F.col("layout") == "second", F.col("message")).otherwise(F.col("content"))
-    d = d.select("file_path", "blk", "line_number", F.when(is_head(F.col("layout")), F.col("line_number")).alias("_h"), text.alias("text"), F.lit(False).alias("_mark"))
-    d = d.unionByName(marks).repartition("file_path", "blk")
-    w = Window.partitionBy("file_path", "blk").orderBy("line_number", F.desc("_mark"))
-    d = d.withColumn("_p", F.lag("line_number").over(w)).withColumn("first_line", F.last("_h", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.where(~F.col("_mark") & F.col("first_line").isNotNull() & F.col("text").isNotNull() & (F.col("_p").isNull() | (F.col("_p") != F.col("line_number"))))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("line_number", "text"))), lambda x: x["text"])
-    texts = d.groupBy("file_path", "first_line").agg(F.concat_ws("\n", whole).alias("message"))
-    return entries.drop("message").join(texts, ["file_path", "first_line"], "left")
+    groups = cut(lines.sparkSession, _groups(lines, files, True, True), "entry-groups")
+    edges = _edges(groups)
+    pieces = groups.where(F.col("grp") == 0).join(edges.where(F.col("owner").isNotNull()).select("file_path", "blk", "owner"), ["file_path", "blk"])
+    rest = pieces.groupBy("file_path", F.col("owner.line").alias("first_line")).agg(F.transform(F.array_sort(F.collect_list(F.struct("first_line", "text"))), lambda x: x["text"]).alias("rest"))
+    e = _entries(groups, edges)
+    # The second line of a header that ends its block is the first of the pieces: it goes in as the message it holds.
+    first = F.when(F.col("over"), F.regexp_replace(F.col("rest")[0], _SECOND, "$2")).otherwise(F.col("rest")[0])
+    later = F.concat(F.array(first), F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))))
+    whole = F.when(F.col("twoline") & F.col("over"), F.concat_ws("\n", later)).otherwise(F.concat_ws("\n", F.array("text"), later))
+    e = e.join(rest, ["file_path", "first_line"], "left").withColumn("message", F.when(F.col("rest").isNull(), F.col("text")).otherwise(whole))
+    return e.select("file_path", "first_line", "last_line", "ts_ms", "level", "component", "message")

@@ -69,7 +69,7 @@ def p3_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every log entry with its lines, time, level and component."""
     log = table(spark, sf_dir, "log_index").select("file_path", "line_number", "content")
-    return log_entries(spread(log), table(spark, sf_dir, "files")).drop("message")
+    return log_entries(spread(log), table(spark, sf_dir, "files"), message=False)
 
 
 def p4_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
