@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumberline.operators.log_entries import BLOCK, BLOCK_BITS, _file_years, _timed, is_head, parse_lines
+from lumberline.operators.log_entries import BLOCK, BLOCK_BITS, _timed, block_years, is_head, parse_lines
 from lumberline.session import cut
 
 #: Tables of one row for each block of a long file are broadcast up to so many rows (under 20 MB), joined beyond.
@@ -65,14 +65,6 @@ def _mark(core: Column, n: Column) -> Column:
     return F.when(core != "", F.xxhash64(core, n.cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
 
 
-def _block_years(ends: DataFrame, files: DataFrame | None) -> DataFrame | None:
-    """``file_path, blk, year`` of each block of the files whose year is known, so that no file's rows come together."""
-    if files is None:
-        return None
-    d = ends.join(_file_years(files), "file_path")
-    return d.select("file_path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright("_m", BLOCK_BITS))).alias("blk"), "year")
-
-
 def _block_entries(keyed: DataFrame, years: DataFrame | None) -> DataFrame:
     """The entries that begin in each block, as far as the block has them."""
     d = keyed.where(F.col("head").isNotNull())
@@ -160,7 +152,7 @@ def event_runs(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """
     ends = lines.where(F.col("file_path").isNotNull()).groupBy("file_path").agg(F.max("line_number").alias("_m"))
     long_files = ends.where(F.col("_m") >= BLOCK).select("file_path")
-    years = _block_years(ends, files)
+    years = None if files is None else block_years(lines, files)
     e = _block_entries(_keyed(lines), years)
     w = Window.partitionBy(*_FB).orderBy("first_line")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
