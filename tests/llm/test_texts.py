@@ -152,3 +152,35 @@ def test_garbled_of_nothing(spark):
     log = spark.createDataFrame([], "id bigint, content string")
     files = spark.createDataFrame([], "id bigint, original_name string")
     assert mj.garbled(log, files).collect() == []
+
+
+def plain_segments(score):
+    """The best stretch, then the best ones on either side of it, and so on."""
+    best = max(((sum(score[i:j]), i - j, i, j) for i in range(len(score)) for j in range(i + 1, len(score) + 1)), default=(0,))
+    if best[0] <= 0:
+        return []
+    i, j = best[2:]
+    return plain_segments(score[:i]) + [(i, j)] + [(a + j, b + j) for a, b in plain_segments(score[j:])]
+
+
+def test_all_maximal_segments(monkeypatch):
+    import numpy as np
+
+    rnd = random.Random(8)
+    m = mj.Model(*mj.empty_counts())
+    for _ in range(60):
+        texts = ["x" * rnd.randint(0, 14) for _ in range(5)]
+        scores = [[rnd.choice([-2, -2, -1, 1.5, 3.25]) + rnd.random() / 64 for _ in range(len(t) + 1)] for t in texts]
+        monkeypatch.setattr(m, "scores", lambda p, s=scores: np.array([v for x in s for v in (*x, -1e9)][:-1]))
+        want = [[(max(0, a - 1), min(len(t), b)) for a, b in plain_segments(x)] for t, x in zip(texts, scores, strict=True)]
+        assert m.segments(texts) == want
+
+
+def test_garbled_more_than_three_times(spark):
+    """Repairs go on as long as they help; characters outside the segments stay."""
+    text = "señal débil"
+    for _ in range(4):
+        text = text.encode().decode("cp1252")
+    log = spark.createDataFrame([(i, f"{GOOD[i % 7]} señal débil mañana {i}") for i in range(300)] + [(500, text + " größe")], "id bigint, content string")
+    files = spark.createDataFrame([], "id bigint, original_name string")
+    assert {r.record_id: r.restored for r in mj.garbled(log, files).collect()} == {500: "señal débil größe"}
