@@ -9,7 +9,7 @@ from lumberline.llm.event_runs import event_runs
 from lumberline.llm.mojibake import garbled
 from lumberline.llm.packing import pack
 from lumberline.llm.shared_spans import shared_spans
-from lumberline.llm.tokens import count_tokens, encode
+from lumberline.llm.tokens import count_tokens, decode_part, encode
 from lumberline.session import cut, spread
 
 
@@ -47,6 +47,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def p6_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the middle of every document, decoded from the ids of its slices by their offsets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
+    d = encode(spread(docs), offsets=True).join(n, "doc_id").withColumn("begin", F.expr("n div 4")).withColumn("stop", F.expr("n - n div 4"))
+    return decode_part(d).select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in a container of each kind."""
     counts = cut(spark, count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "pack-counts")
@@ -58,5 +66,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p6_parts": p6_parts, "p7_packed": p7_packed, "p8_found": p8_found}
+ORACLE: dict[str, str] = {
+    "p6_parts": "SELECT doc_id, sha256(substr(t, n // 4 + 1, n - n // 4 - n // 4)) AS digest FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents)",
+}

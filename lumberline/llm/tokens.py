@@ -5,14 +5,17 @@ an expression.  Seen as transition functions over these classes, every character
 look to either side, so their scan reduces to comparing neighbours: a token starts where the class changes, the last
 white space ahead of a word starts a token and, if it is a blank, is joined to it, and a contraction cuts the letters
 after its apostrophe.  The slices are looked up in a cache of merged pieces; only pieces not seen before are merged.
+The slices' offsets can be kept (``offsets``): with them any part of a text is decoded from the ids it lies in.
 
 Defined cases: the ids of an empty and of a null text are the empty list; a text of any length is encoded whole;
-special tokens' strings are ordinary text; further columns are ignored; repeated rows of a ``doc_id`` count once.
+special tokens' strings are ordinary text; further columns are ignored; a row with a null ``doc_id`` is no document;
+repeated rows of a ``doc_id`` count once (where their texts differ, any of them).
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,25 +126,42 @@ class Pieces(dict):
 
 
 def merge_pairs(ranks: dict[bytes, int], raw: bytes) -> list[int]:
-    """Plain pair merging: the pair of lowest rank first, the leftmost of equal ones."""
-    parts = [raw[i : i + 1] for i in range(len(raw))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
-        if parts[best] + parts[best + 1] not in ranks:
-            break
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
-    return [ranks[p] for p in parts]
+    """Plain pair merging: the pair of lowest rank first, the leftmost of equal ones; n log n steps for n bytes."""
+    n = len(raw)
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    gone = [False] * n
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i] if not gone[i] else n
+        if j >= n or end[j] != stop:
+            continue  # one of the two has been merged since
+        end[i], after[i], gone[j] = end[j], after[j], True
+        if after[i] < n:
+            before[after[i]] = i
+            if (r := ranks.get(raw[i : end[after[i]]])) is not None:
+                heapq.heappush(heap, (r, i, end[after[i]]))
+        if before[i] >= 0 and (r := ranks.get(raw[before[i] : end[i]])) is not None:
+            heapq.heappush(heap, (r, before[i], end[i]))
+    return [ranks[raw[i : end[i]]] for i in range(n) if not gone[i]]
 
 
 def merger(ranks: dict[bytes, int]):
-    """Merges one piece: by the installed library, which does long pieces in near-linear time."""
+    """Merges one piece, by the installed library if there is one: a pattern that takes a text whole makes it a piece."""
     try:
         import tiktoken
-
-        core = tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        return core.encode_single_piece
-    except (ImportError, AttributeError):
+    except ImportError:
         return lambda raw: merge_pairs(ranks, raw)
+    whole = tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+
+    def merge(raw: bytes) -> list[int]:
+        try:
+            return whole.encode_ordinary(raw.decode("utf-8"))
+        except UnicodeDecodeError:
+            return merge_pairs(ranks, raw)
+
+    return merge
 
 
 _pieces: dict[str, Pieces] = {}
@@ -153,8 +173,8 @@ def pieces_of(vocabulary: str) -> Pieces:
     return _pieces[vocabulary]
 
 
-def encode_batch(texts: list[str], cache: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Piece numbers of all the texts in order, and how many each text has."""
+def encode_batch(texts: list[str], cache: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece numbers of all the texts in order, how many each text has, and where each begins in its text."""
     joined = "".join(texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -163,7 +183,8 @@ def encode_batch(texts: list[str], cache: Pieces) -> tuple[np.ndarray, np.ndarra
     starts = boundaries(points, begins[sizes > 0])
     cuts = np.append(starts, len(points)).tolist()
     codes = np.fromiter(map(cache.__getitem__, map(joined.__getitem__, map(slice, cuts, cuts[1:]))), np.int64, len(starts))
-    return codes, np.searchsorted(starts, ends) - np.searchsorted(starts, begins)
+    counts = np.searchsorted(starts, ends) - np.searchsorted(starts, begins)
+    return codes, counts, starts - np.repeat(begins, counts)
 
 
 def chunks(texts: list[str | None], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
@@ -178,9 +199,21 @@ def chunks(texts: list[str | None], limit: int = CHUNK) -> Iterator[tuple[int, i
         yield a, len(texts)
 
 
-def encode(documents: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``ids`` (list of int) of each document.  No shuffle: each row is encoded where it is read."""
+def one_row_each(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with a row for each key that isn't null.  The keys alone are looked at first: texts are exchanged only if
+    a key occurs twice."""
+    d = df.where(F.col(key).isNotNull())
+    return d if d.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > 1).isEmpty() else d.dropDuplicates([key])
+
+
+def encode(documents: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
+    """``key`` and ``ids`` (list of int) of each document.  Each row is encoded where it is read.
+
+    With ``offsets`` also ``at`` and ``first``: for each slice of the text its first code point and the place of its
+    first id.
+    """
     path = vocabulary or default_vocabulary()
+    names = [key, "ids", *(["at", "first"] if offsets else [])]
 
     def run(batches):
         cache = pieces_of(path)
@@ -189,17 +222,21 @@ def encode(documents: DataFrame, vocabulary: str | None = None, key: str = "doc_
             for i, j in chunks(texts):
                 if len(cache) > CACHE_PIECES:
                     cache.reset()
-                codes, counts = encode_batch([t or "" for t in texts[i:j]], cache)
+                codes, counts, begin = encode_batch([t or "" for t in texts[i:j]], cache)
                 flat, at, size = cache.arrays()
                 n = size[codes]
                 ends = np.cumsum(n)
                 where = np.repeat(at[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-                per = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-                ids = pa.ListArray.from_arrays(pa.array(per, pa.int32()), pa.array(flat[where], pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], ids], names=[key, "ids"])
+                slices = np.concatenate([[0], np.cumsum(counts)])
+                per = np.concatenate([[0], ends])[slices]
+                out = [pa.ListArray.from_arrays(pa.array(per, pa.int32()), pa.array(flat[where], pa.int32()))]
+                if offsets:
+                    first = ends - n - np.repeat(per[:-1], counts)
+                    out += [pa.ListArray.from_arrays(pa.array(slices, pa.int32()), pa.array(x, pa.int32())) for x in (begin, first)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], *out], names=names)
 
-    d = documents.select(key, text)
-    return d.mapInArrow(run, f"{key} {dict(d.dtypes)[key]}, ids array<int>")
+    d = one_row_each(documents.select(key, text), key)
+    return d.mapInArrow(run, f"{key} {dict(d.dtypes)[key]}, {', '.join(f'{c} array<int>' for c in names[1:])}")
 
 
 def count_tokens(documents: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,12 +250,12 @@ def count_tokens(documents: DataFrame, vocabulary: str | None = None, key: str =
             for i, j in chunks(texts):
                 if len(cache) > CACHE_PIECES:
                     cache.reset()
-                codes, counts = encode_batch([t or "" for t in texts[i:j]], cache)
+                codes, counts, _ = encode_batch([t or "" for t in texts[i:j]], cache)
                 total = np.concatenate([[0], np.cumsum(cache.arrays()[2][codes])])
                 upto = total[np.concatenate([[0], np.cumsum(counts)])]
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(np.diff(upto), pa.int64())], names=[key, "n_tokens"])
 
-    d = documents.select(key, text)
+    d = one_row_each(documents.select(key, text), key)
     return d.mapInArrow(run, f"{key} {dict(d.dtypes)[key]}, n_tokens bigint")
 
 
@@ -236,5 +273,23 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, key: str = "doc_id
     return d.mapInArrow(run, f"{key} {dict(d.dtypes)[key]}, text string")
 
 
-def one_row_each(df: DataFrame, key: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull()).dropDuplicates([key])
+def decode_part(encoded: DataFrame, vocabulary: str | None = None, key: str = "doc_id") -> DataFrame:
+    """``key`` and ``text``: of ``key, ids, at, first, begin, stop`` the code points from ``begin`` up to ``stop``, out of
+    the ids of the slices they lie in alone."""
+    path = vocabulary or default_vocabulary()
+
+    def part(back: dict[int, bytes], ids, at, first, begin, stop) -> str:
+        if not len(at) or stop <= begin:
+            return ""
+        i, j = int(np.searchsorted(at, begin, "right")) - 1, int(np.searchsorted(at, stop, "left"))
+        raw = b"".join(map(back.__getitem__, ids[first[i] : first[j] if j < len(first) else len(ids)]))
+        return raw.decode("utf-8", "surrogatepass")[begin - at[i] : stop - at[i]]
+
+    def run(batches):
+        back = {i: raw for raw, i in pieces_of(path).ranks.items()}
+        for b in batches:
+            texts = [part(back, *row) for row in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    d = encoded.select(key, "ids", "at", "first", "begin", "stop")
+    return d.mapInArrow(run, f"{key} {dict(d.dtypes)[key]}, text string")

@@ -85,3 +85,23 @@ def test_pack_nothing(spark):
     targets = spark.createDataFrame([("t", 10)], "target_id string, capacity_tokens bigint")
     assert packing.pack(counts, targets).count() == 0
     assert packing.pack(counts, targets.limit(0)).count() == 0
+
+
+def test_parts_by_offsets(spark, texts):
+    """Any part of a text from the ids of its slices; repeated rows and rows without an id."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, t) for i, t in enumerate(texts)] + [(8, texts[8]), (9, texts[9]), (None, "x")]
+    enc = tokens.encode(spark.createDataFrame(rows, "doc_id bigint, text string"), offsets=True)
+    got = {r.doc_id: r for r in enc.collect()}
+    assert len(got) == len(texts) and enc.count() == len(texts)
+    n = spark.createDataFrame([(i, len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, n int")
+    d = enc.join(n, "doc_id").withColumn("begin", F.expr("n div 4")).withColumn("stop", F.expr("n - n div 3"))
+    back = {r.doc_id: r.text for r in tokens.decode_part(d).collect()}
+    assert back == {i: (t or "")[len(t or "") // 4 : len(t or "") - len(t or "") // 3] for i, t in enumerate(texts)}
+
+
+def test_merging_a_long_piece_by_hand():
+    p = tokens.pieces_of(tokens.default_vocabulary())
+    raw = ("ab" * 20_000 + "é中" * 500).encode()
+    assert tokens.merge_pairs(p.ranks, raw) == list(p._merge(raw))
