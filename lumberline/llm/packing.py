@@ -2,8 +2,10 @@
 
 The cost of a document of n tokens in a container of capacity c is ``n + n * n / c``: a linear part and the quadratic
 part of attention.  Documents, longest first, go to the container of lowest cost that still has room, out of those a
-pass has opened; what fits in none of them goes to the next pass.  A document longer than the capacity is the only kind
-that is cut: into full containers of its own and a rest that is packed like any other document.
+pass has opened; what fits in none of them goes to the next pass.  How many a pass opens is a trade of balance against
+fill, so each share of ``OPEN_SHARES`` is tried: the fewest containers win, then the most even cost.  A document longer
+than the capacity is the only kind that is cut: into full containers of its own and a rest that is packed like any
+other document.
 
 Packing is local to shards.  A shard is a pseudo-random set of documents that fills about ``SHARD_CONTAINERS``
 containers, whatever the size of the corpus, so a task's group has a bound and the space lost at a shard's end is a
@@ -23,26 +25,39 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumberline.llm.tokens import one_row_each
+
 #: Containers, and documents, that a shard has about.
 SHARD_CONTAINERS = 2048
 SHARD_DOCUMENTS = 100_000
-#: Share of the containers that what is left needs which a pass opens.
-OPEN_SHARE = 0.1
+#: Shares of the containers that what is left needs which a pass may open.
+OPEN_SHARES = (1.0, 0.3, 0.1)
+
+
+def costs(tokens: np.ndarray, box: np.ndarray, capacity: int) -> np.ndarray:
+    """Cost of each container."""
+    return np.bincount(box, weights=tokens + tokens * (tokens / capacity))
 
 
 def pack_shard(tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Container and start of each item (all of at most ``capacity`` tokens); items must be in descending order.
+    """Container and start of each item (all of at most ``capacity`` tokens); items must be in descending order."""
+    tried = [_pack_by(tokens, capacity, share) for share in OPEN_SHARES]
+    return min(tried, key=lambda t: (int(t[0].max()) if len(tokens) else 0, float(costs(tokens, t[0], capacity).std()) if len(tokens) else 0.0))
 
-    Passes over what is left open ``OPEN_SHARE`` of the containers it needs; an item that fits in none of them waits
-    for the next pass, so the small items of a pass fill what its large ones left.  Containers too full for the item
-    at hand are parked by their room and come back for the first item that fits: each step costs a logarithm.
+
+def _pack_by(tokens: np.ndarray, capacity: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """``pack_shard`` in passes over what is left, each of which opens ``share`` of the containers it needs.
+
+    An item that fits in none of them waits for the next pass, so the small items of a pass fill what its large ones
+    left.  Containers too full for the item at hand are parked by their room and come back for the first item that
+    fits: each step costs a logarithm.
     """
     n = len(tokens)
     box, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
     sizes, todo, opened = tokens.tolist(), list(range(n)), 0
     while todo:
         total = sum(sizes[i] for i in todo)
-        k = max(1, math.ceil(total / capacity * OPEN_SHARE))
+        k = max(1, math.ceil(total / capacity * share))
         used, cost = [0] * k, [0.0] * k
         heap: list[tuple[float, int]] = [(0.0, b) for b in range(k)]
         parked: list[tuple[int, int]] = []
@@ -76,20 +91,16 @@ def pack(counts: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFram
     the shard and a number in it, or the document's own number for the full containers of a long one.
     """
     spark = counts.sparkSession
+    counts = one_row_each(counts.select(key, "n_tokens"), key)
     kinds = targets.where(F.col("target_id").isNotNull() & (F.col("capacity_tokens") > 0)).select("target_id", "capacity_tokens").dropDuplicates(["target_id"])
     n_docs, n_tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     shards = [(t, c, max(1, -(-n_tokens // (c * SHARD_CONTAINERS)), -(-n_docs // SHARD_DOCUMENTS))) for t, c in kinds.collect()]
     kind_type = dict(kinds.dtypes)
-    if not shards:
-        shards_df = spark.createDataFrame([], f"target_id {kind_type['target_id']}, capacity bigint, shards bigint")
-    else:
-        shards_df = spark.createDataFrame(shards, f"target_id {kind_type['target_id']}, capacity bigint, shards bigint")
     d = counts.select(F.col(key), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n"))
     # One row of each document for each kind: an array in the row, not a join.
-    rows = shards_df.collect()
-    lit = F.array(*[F.struct(F.lit(r[0]).alias("target_id"), F.lit(r[1]).alias("capacity"), F.lit(r[2]).alias("shards")) for r in rows]) if rows else None
-    if lit is None:
+    if not shards:
         return spark.createDataFrame([], f"target_id {kind_type['target_id']}, container string, {key} {dict(counts.dtypes)[key]}, piece bigint, n_pieces bigint, start bigint, n_tokens bigint")
+    lit = F.array(*[F.struct(F.lit(t).cast(kind_type["target_id"]).alias("target_id"), F.lit(c).cast("bigint").alias("capacity"), F.lit(n).cast("bigint").alias("shards")) for t, c, n in shards])
     d = d.select("*", F.explode(lit).alias("k")).select(key, "n", "k.*")
     d = d.withColumn("full", F.expr("n div capacity")).withColumn("rest", F.col("n") - F.col("full") * F.col("capacity"))
     d = d.withColumn("n_pieces", F.greatest(F.lit(1).cast("bigint"), F.col("full") + (F.col("rest") > 0).cast("bigint")))
@@ -107,3 +118,19 @@ def pack(counts: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFram
 
     packed = rest.select("target_id", "capacity", "shard", key, "full", "rest", "n_pieces").groupBy("target_id", "shard").applyInPandas(run, f"target_id {kind_type['target_id']}, container string, {key} {kt}, piece bigint, n_pieces bigint, start bigint, n_tokens bigint")
     return packed.unionByName(whole)
+
+
+def packing_report(packed: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``target_id, n_documents, n_containers, fill, mean_cost, sd_cost, most, whole``: how well each kind is packed.
+
+    ``most``: no container holds more than its capacity; ``whole``: no document is in two containers, unless it is
+    longer than the capacity.  Costs are those of the packed pieces, as ``pack_shard`` has them.
+    """
+    d = packed.join(F.broadcast(targets.select("target_id", F.col("capacity_tokens").alias("c")).dropDuplicates(["target_id"])), "target_id")
+    n = F.col("n_tokens")
+    boxes = d.groupBy("target_id", "container", "c").agg(F.sum("n_tokens").alias("used"), F.sum(n + n * n / F.col("c")).alias("cost"))
+    by_box = boxes.groupBy("target_id").agg(F.count("*").alias("n_containers"), (F.sum("used") / F.sum("c")).alias("fill"), F.avg("cost").alias("mean_cost"), F.stddev_pop("cost").alias("sd_cost"), F.bool_and(F.col("used") <= F.col("c")).alias("most"))
+    docs = d.groupBy("target_id", key, "c").agg(F.count("*").alias("pieces"), F.max("n_pieces").alias("k"), F.sum("n_tokens").alias("n"))
+    fit = (F.col("pieces") == F.col("k")) & (F.col("k") == F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("c"))))
+    by_doc = docs.groupBy("target_id").agg(F.count("*").alias("n_documents"), F.bool_and(fit).alias("whole"))
+    return by_doc.join(by_box, "target_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumberline.llm.event_runs import event_runs
 from lumberline.llm.mojibake import garbled
-from lumberline.llm.packing import pack
+from lumberline.llm.packing import pack, packing_report
 from lumberline.llm.shared_spans import shared_spans
 from lumberline.llm.tokens import count_tokens, decode_part, encode
 from lumberline.session import cut, spread
@@ -61,12 +61,23 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(counts, table(spark, sf_dir, "pack_targets"))
 
 
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, containers, fill and spread of cost of each kind, and whether the promises hold."""
+    return packing_report(p7_packed(spark, sf_dir), table(spark, sf_dir, "pack_targets"))
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The promises of packing alone: every document once, whole, in no container beyond its capacity, little unused."""
+    return p7_report(spark, sf_dir).select("target_id", "n_documents", "most", "whole", (F.col("fill") > 0.97).alias("filled"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document also occurs in another, in spans of at least 200 code points."""
     return shared_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p6_parts": p6_parts, "p7_packed": p7_packed, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p6_parts": p6_parts, "p7_packed": p7_packed, "p7_report": p7_report, "p7_checks": p7_checks, "p8_found": p8_found}
 ORACLE: dict[str, str] = {
+    "p7_checks": "SELECT target_id, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, true AS most, true AS whole, true AS filled FROM pack_targets",
     "p6_parts": "SELECT doc_id, sha256(substr(t, n // 4 + 1, n - n // 4 - n // 4)) AS digest FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents)",
 }

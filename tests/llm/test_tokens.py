@@ -105,3 +105,22 @@ def test_merging_a_long_piece_by_hand():
     p = tokens.pieces_of(tokens.default_vocabulary())
     raw = ("ab" * 20_000 + "é中" * 500).encode()
     assert tokens.merge_pairs(p.ranks, raw) == list(p._merge(raw))
+
+
+def test_fewest_containers_then_even_cost():
+    rnd = random.Random(9)
+    for cap in (300, 1024, 20_000):
+        sizes = np.array(sorted((int(rnd.paretovariate(1.2) * 20) % cap for _ in range(4000)), reverse=True))
+        box, _ = packing.pack_shard(sizes, cap)
+        tried = [packing._pack_by(sizes, cap, share)[0] for share in packing.OPEN_SHARES]
+        assert box.max() == min(b.max() for b in tried)
+        assert packing.costs(sizes, box, cap).std() == min(packing.costs(sizes, b, cap).std() for b in tried if b.max() == box.max())
+
+
+def test_report_and_repeated_rows(spark):
+    counts = spark.createDataFrame([(i % 50, 7 + i % 50) for i in range(100)] + [(99, 250), (None, 5)], "doc_id bigint, n_tokens bigint")
+    targets = spark.createDataFrame([(1, 100)], "target_id bigint, capacity_tokens bigint")
+    packed = packing.pack(counts, targets)
+    r = packing.packing_report(packed, targets).first()
+    assert (r.n_documents, r.most, r.whole) == (51, True, True) and packed.count() == 53
+    assert not packing.packing_report(packed.where("piece = 0"), targets).first().whole
