@@ -9,13 +9,15 @@ the part of the text that decided it (``lo``, ``hi``): equal text there gives th
    for all windows (of ``span`` code points) that hold everything that decided the stretch.  A window that holds no
    whole stretch stands for itself.
 2. In Spark, the names are counted by document: one that no other document has rules its windows out.
-3. In the texts that are left, each run of windows under a shared name gets a signature of all its windows.  If another
-   document has it, too, the whole run is shared.  Rows are merged by signature before any exchange, so a passage in a
-   third of all documents is as cheap as one in two of them.
+3. In the texts that are left, each run of windows under a shared name gets a signature of all its windows and a BLAKE2
+   digest of its very text.  If another document has both, too, the whole run is shared.  Rows are merged by signature
+   before any exchange; where rows and not groups are joined, the most frequent keys are joined apart, by a broadcast
+   of ``HOT_KEYS`` rows at most, so a passage in a third of all documents is as cheap as one in two of them.
 4. What is left are the ends of shared passages: for one document of each signature that stands alone under a name with
    several signatures, the windows themselves are compared by their hashes.
 
-Every window is decided by equality of hashes over all its code points; nothing depends on the names but the work.
+Every window is decided by equality of 128 bits over the text of its run, or of 96 bits over its own code points (two
+hashes of different bases); nothing depends on the names but the work.
 
 Defined cases: null and short texts share nothing; repeated rows of a document count once (equal ids are one
 document); a span that occurs twice in one document only isn't shared; an empty table gives no rows.
@@ -23,6 +25,7 @@ document); a span that occurs twice in one document only isn't shared; an empty
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumberline.session import cut
+from lumberline.session import cut, drop_cut
 
 SPAN = 200
 ROUNDS = 5
@@ -39,12 +42,14 @@ ROUNDS = 5
 GRAM, WIDTH = 15, 16
 #: Bits of the filters that keep most rows that can't match out of an exchange; they bound what is broadcast (2 MB).
 FILTER_BITS = 1 << 24
+#: A key of more rows is joined apart, at most so many of them: no other key has over a thousandth of the rows.
+HOT_ROWS, HOT_KEYS = 100_000, 1000
 #: Code points that a worker handles at once (a longer text is handled by itself).
 CHUNK = 1 << 19
 
 _M1, _M2, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
-_BINV = np.uint64(pow(int(_B), -1, 1 << 64))
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_BASES = (_B, np.uint64(0xC2B2AE3D27D4EB4F))
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,20 +60,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base of the window hash, and of its inverse, up to n."""
-    global _powers
-    if len(_powers[0]) < n:
+def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base of the window hash, and of its inverse, up to n."""
+    if base not in _powers or len(_powers[base][0]) < n:
         m = max(n, CHUNK * 2)
-        up, down = np.full(m, _B, np.uint64), np.full(m, _BINV, np.uint64)
+        up, down = np.full(m, _BASES[base], np.uint64), np.full(m, np.uint64(pow(int(_BASES[base]), -1, 1 << 64)), np.uint64)
         up[0] = down[0] = 1
-        _powers = np.cumprod(up), np.cumprod(down)
-    return _powers
+        _powers[base] = np.cumprod(up), np.cumprod(down)
+    return _powers[base]
 
 
-def window_hashes(points: np.ndarray, span: int) -> np.ndarray:
+def window_hashes(points: np.ndarray, span: int, base: int = 0) -> np.ndarray:
     """Hash of each window of ``span`` code points."""
-    up, down = powers(len(points) + 1)
+    up, down = powers(len(points) + 1, base)
     c = np.zeros(len(points) + 1, np.uint64)
     np.cumsum(_mix(points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=c[1:])
     return _mix((c[span:] - c[:-span]) * down[: len(points) - span + 1])
@@ -228,8 +232,9 @@ def _member(values: np.ndarray, of: pa.Scalar) -> np.ndarray:
     return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
 
 
-def _runs_of(texts: pa.Array, wanted: pa.Array, span: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """Of each text the runs of windows under a wanted name: text, name, start, signature, the windows' hashes."""
+def _runs_of(texts: pa.Array, wanted: pa.Array, span: int, second: bool = False) -> Iterator[tuple[int, int, int, int, int, np.ndarray, np.ndarray | None]]:
+    """Of each text the runs of windows under a wanted name: text, name, start, signature, digest, the windows' hashes
+    (and 32 bits of a second one)."""
     py = texts.to_pylist()
     for group in _chunks(py, span):
         x = Batch([py[i] for i in group], span)
@@ -247,37 +252,55 @@ def _runs_of(texts: pa.Array, wanted: pa.Array, span: int) -> Iterator[tuple[int
             c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
             h, t = heads[hit], tails[hit]
             sig = _mix((c[t] - c[h]) * down[h] + (t - h).astype(np.uint64)).view(np.int64)
+            raw = memoryview(x.points[lo:hi].tobytes())
+            more = (window_hashes(x.points[lo:hi], span, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32) if second else None
             for name, start, end, g in zip(names[h].view(np.int64).tolist(), h.tolist(), t.tolist(), sig.tolist(), strict=True):
-                yield i, name, start, g, hashes[start:end]
+                digest = hashlib.blake2b(raw[4 * start : 4 * (end + span - 1)], digest_size=8).digest()
+                yield i, name, start, g, int.from_bytes(digest, "little", signed=True), hashes[start:end], None if more is None else more[start:end]
 
 
 def window_runs(documents: DataFrame, span: int = SPAN) -> DataFrame:
-    """``doc_id, name, sig, start, n``: the runs of ``n`` windows under a name that is in the list ``wanted``."""
+    """``doc_id, name, sig, digest, start, n``: the runs of ``n`` windows under a name that is in the list ``wanted``."""
 
     def run(batches):
         for b in batches:
-            rows = [(i, name, g, start, len(w)) for i, name, start, g, w in _runs_of(b.column(1), b.column(2), span)]
+            rows = [(i, name, g, x, start, len(w)) for i, name, start, g, x, w, _ in _runs_of(b.column(1), b.column(2), span)]
             if rows:
                 i, *rest = zip(*rows, strict=True)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), *(pa.array(v, k) for v, k in zip(rest, kinds, strict=True))], names=["doc_id", "name", "sig", "start", "n"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), *(pa.array(v, k) for v, k in zip(rest, kinds, strict=True))], names=["doc_id", "name", "sig", "digest", "start", "n"])
 
     d = documents.select("doc_id", "text", "wanted")
-    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, name bigint, sig bigint, start int, n int")
+    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, name bigint, sig bigint, digest bigint, start int, n int")
 
 
 def run_windows(documents: DataFrame, span: int = SPAN) -> DataFrame:
-    """``name, sig, hashes``: the windows' hashes of the runs under a wanted name, a signature of a text once."""
+    """``name, sig, digest, hashes, more``: the windows' hashes of the runs under a wanted name, a signature of a text
+    once."""
+    names = ["name", "sig", "digest", "hashes", "more"]
 
     def run(batches):
         for b in batches:
-            rows = {(i, name, g): w for i, name, _, g, w in _runs_of(b.column(1), b.column(2), span)}
+            rows = {(i, name, g, x): (w, v) for i, name, _, g, x, w, v in _runs_of(b.column(1), b.column(2), span, second=True)}
             if rows:
-                sizes = np.fromiter(map(len, rows.values()), np.int64, len(rows))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), _signed(np.concatenate(list(rows.values()))))
-                yield pa.RecordBatch.from_arrays([pa.array([k[1] for k in rows], pa.int64()), pa.array([k[2] for k in rows], pa.int64()), lists], names=["name", "sig", "hashes"])
+                sizes = np.fromiter((len(w) for w, _ in rows.values()), np.int64, len(rows))
+                at = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                first, second = (np.concatenate([r[k] for r in rows.values()]) for k in (0, 1))
+                keys = [pa.array([k[i] for k in rows], pa.int64()) for i in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(at, _signed(first)), pa.ListArray.from_arrays(at, pa.array(second, pa.int32()))], names=names)
 
-    return documents.select("doc_id", "text", "wanted").mapInArrow(run, "name bigint, sig bigint, hashes array<bigint>")
+    return documents.select("doc_id", "text", "wanted").mapInArrow(run, "name bigint, sig bigint, digest bigint, hashes array<bigint>, more array<int>")
+
+
+def keyed_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right``, whose keys are unique and whose ``n`` says how many rows of ``left`` have
+    them.  The ``HOT_KEYS`` largest of over ``HOT_ROWS`` rows go by a broadcast, the rest by an exchange."""
+    hot = right.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), *keys).limit(HOT_KEYS)
+    if hot.isEmpty():
+        return left.join(right.drop("n"), keys)
+    hot = cut(left.sparkSession, hot, "spans-hot").drop("n")
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.drop("n"), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(rest)
 
 
 def _bit(h):
@@ -312,27 +335,30 @@ def shared_windows(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """``doc_id, start, length`` of stretches of starts of windows that another document has, too."""
     spark = documents.sparkSession
     docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    names = cut(spark, document_names(docs, span), "spans-names").select("doc_id", F.explode("names").alias("name"))
-    common = names.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where(F.col("a") != F.col("b")).select("name")
+    listed = cut(spark, document_names(docs, span), "spans-names")
+    names = listed.select("doc_id", F.explode("names").alias("name"))
+    common = names.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where(F.col("a") != F.col("b")).select("name", "n")
     common = cut(spark, common, "spans-common")
-    mine = passing(names, "name", filter_bits(common, "name")).join(common, "name")
+    mine = keyed_join(passing(names, "name", filter_bits(common, "name")), common, ["name"])
     mine = cut(spark, mine.groupBy("doc_id").agg(F.collect_set("name").alias("wanted")), "spans-wanted")
     some = cut(spark, passing(docs, "doc_id", filter_bits(mine, "doc_id")).join(mine, "doc_id"), "spans-texts")
-    runs = cut(spark, window_runs(some, span), "spans-runs")
-    kinds = cut(spark, runs.groupBy("name", "sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")), "spans-kinds")
-    whole = kinds.where(F.col("a") != F.col("b")).select("name", "sig")
-    out = runs.join(whole, ["name", "sig"], "left_semi").select("doc_id", "start", F.col("n").alias("length"))
+    drop_cut(listed, common, mine)
+    runs, key = cut(spark, window_runs(some, span), "spans-runs"), ["name", "sig", "digest"]
+    kinds = cut(spark, runs.groupBy(*key).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")), "spans-kinds")
+    whole = kinds.where(F.col("a") != F.col("b")).select(*key, "n")
+    out = keyed_join(runs, whole, key).select("doc_id", "start", F.col("n").alias("length"))
     # The ends: signatures of one document under a name that has others.
-    mixed = kinds.groupBy("name").agg(F.count("*").alias("k"), F.bool_or(F.col("a") == F.col("b")).alias("lone")).where((F.col("k") > 1) & F.col("lone")).select("name")
-    ends = kinds.join(mixed, "name")
+    mixed = kinds.groupBy("name").agg(F.count("*").alias("n"), F.bool_or(F.col("a") == F.col("b")).alias("lone")).where((F.col("n") > 1) & F.col("lone")).select("name", "n")
+    ends = keyed_join(kinds.drop("n"), mixed, ["name"])
     asked = ends.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("name").alias("wanted"))
     windows = run_windows(some.drop("wanted").join(asked, "doc_id"), span)
-    windows = windows.join(ends, ["name", "sig"]).groupBy("name", "sig", "a", "b").agg(F.any_value("hashes").alias("hashes"))
-    windows = cut(spark, windows, "spans-windows").select("name", "sig", "a", "b", F.posexplode("hashes").alias("pos", "h"))
-    found = windows.groupBy("h").agg(F.min("a").alias("a"), F.max("b").alias("b")).where(F.col("a") != F.col("b")).select("h")
-    at = windows.where(F.col("a") == F.col("b")).join(found, "h", "left_semi")
-    at = at.groupBy("name", "sig").agg(F.collect_list("pos").alias("at"))
-    part = runs.join(at, ["name", "sig"]).select("doc_id", "start", F.explode("at").alias("pos"))
+    windows = windows.join(ends, key).groupBy(*key, "a", "b").agg(F.any_value(F.struct("hashes", "more")).alias("w"))
+    windows = cut(spark, windows, "spans-windows").select(*key, "a", "b", F.posexplode(F.arrays_zip("w.hashes", "w.more")).alias("pos", "h")).select(*key, "a", "b", "pos", F.col("h.hashes").alias("h"), F.col("h.more").alias("h2"))
+    drop_cut(some)
+    found = windows.groupBy("h", "h2").agg(F.min("a").alias("a"), F.max("b").alias("b")).where(F.col("a") != F.col("b")).select("h", "h2")
+    at = windows.where(F.col("a") == F.col("b")).join(found, ["h", "h2"], "left_semi")
+    at = at.groupBy(*key).agg(F.collect_list("pos").alias("at"))
+    part = runs.join(at, key).select("doc_id", "start", F.explode("at").alias("pos"))
     return out.unionByName(part.select("doc_id", (F.col("start") + F.col("pos")).alias("start"), F.lit(1).alias("length")))
 
 

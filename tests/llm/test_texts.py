@@ -184,3 +184,15 @@ def test_garbled_more_than_three_times(spark):
     log = spark.createDataFrame([(i, f"{GOOD[i % 7]} señal débil mañana {i}") for i in range(300)] + [(500, text + " größe")], "id bigint, content string")
     files = spark.createDataFrame([], "id bigint, original_name string")
     assert {r.record_id: r.restored for r in mj.garbled(log, files).collect()} == {500: "señal débil größe"}
+
+
+def test_frequent_passages_are_joined_apart(spark, monkeypatch):
+    """The same result where the most frequent names go by a broadcast."""
+    rnd = random.Random(12)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    hot = text(120)
+    docs = {i: text(rnd.randint(0, 60)) + hot[: 400 + i] + text(20) for i in range(20)} | {i: text(100) for i in range(20, 30)}
+    monkeypatch.setattr(ss, "HOT_ROWS", 3)
+    monkeypatch.setattr(ss, "HOT_KEYS", 2)
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    assert {r.doc_id: r.shared_chars for r in ss.shared_spans(df).collect()} == brute(docs, ss.SPAN)
