@@ -111,31 +111,39 @@ def html_escape(text: Column) -> Column:
     return text
 
 
+def _decoded(raw: bytes) -> tuple[str, str]:
+    """Text and encoding of bytes that are no UTF-8."""
+    text = raw.decode("utf-8", "replace")
+    if text.count("\ufffd") > 0.3 * len(text):
+        for codec, label in (("gbk", "GBK"), ("cp1252", "Windows-1252")):
+            try:
+                return raw.decode(codec), label
+            except UnicodeDecodeError:
+                continue
+    return text, "UTF-8-Lossy"
+
+
 def decode_bytes(content: Column) -> Column:
-    """Struct ``text, encoding`` of bytes: UTF-8, else with replacements, else GBK, else Windows-1252.
+    """Struct ``text, encoding`` of bytes: UTF-8, else with replacements, else GBK, else Windows-1252; null of null.
 
-    Only invalid bytes leave the JVM; more than 30 % replacements try the other encodings.
+    More than 30 % replacements try the other encodings.  A valid row's bytes stay in the JVM: a worker gets a null.
     """
 
     @F.pandas_udf("text string, encoding string")
     def slow(raw: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b in raw:
-            lossy = b.decode("utf-8", "replace")
-            text, name = lossy, "UTF-8-Lossy"
-            if lossy and lossy.count("�") > 0.3 * len(lossy):
-                for codec, label in (("gbk", "GBK"), ("cp1252", "Windows-1252")):
-                    try:
-                        text, name = b.decode(codec), label
-                        break
-                    except UnicodeDecodeError:
-                        continue
-            rows.append((text, name))
-        return pd.DataFrame(rows, columns=["text", "encoding"])
+        return pd.DataFrame([(None, None) if b is None else _decoded(b) for b in raw], columns=["text", "encoding"])
 
     valid = F.call_function("is_valid_utf8", content.cast("string"))
-    bad = slow(F.when(~valid, content).otherwise(F.lit(b"")))
-    return F.when(valid, F.struct(content.cast("string").alias("text"), F.lit("UTF-8").alias("encoding"))).otherwise(bad)
+    bad = slow(F.when(~valid, content))
+    utf8 = F.struct(content.cast("string").alias("text"), F.lit("UTF-8").alias("encoding"))
+    return F.when(valid, utf8).when(content.isNotNull(), bad)
+
+
+def decode_column(df: DataFrame, content: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the struct of ``decode_bytes``; only rows whose bytes are no UTF-8 go through a worker."""
+    valid = F.coalesce(F.call_function("is_valid_utf8", F.col(content).cast("string")), F.lit(True))
+    good = df.where(valid).withColumn(out, F.when(F.col(content).isNotNull(), F.struct(F.col(content).cast("string").alias("text"), F.lit("UTF-8").alias("encoding"))))
+    return good.unionByName(df.where(~valid).withColumn(out, decode_bytes(F.col(content))))
 
 
 def with_fields(lines: DataFrame) -> DataFrame:

@@ -18,11 +18,18 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def insert_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The rows to append: of ``new``, one for each key that ``old`` hasn't (the smallest path of equal ones)."""
-    first = new.groupBy(key).agg(F.min(F.struct("virtual_path", *[c for c in new.columns if c not in (key, "virtual_path")])).alias("_r"))
-    first = first.select(*[F.col(c) if c == key else F.col(f"_r.{c}").alias(c) for c in new.columns])
-    return first.join(old.select(key), key, "left_anti")
+def insert_new(old: DataFrame, new: DataFrame, key: str, path: str = "virtual_path") -> DataFrame:
+    """The rows to append: of ``new``, one for each key that ``old`` hasn't (the smallest path of equal ones).
+
+    Keys and paths alone are aggregated; wide columns such as a content cross no sort.
+    """
+    first = new.groupBy(key).agg(F.min(path).alias(path)).join(old.select(key).distinct(), key, "left_anti")
+    return new.join(first, [key, path], "left_semi").dropDuplicates([key])
+
+
+def merge_rows(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``old`` with the last row of each key of ``new`` in place of its own."""
+    return upsert(old, latest(new, keys, order), keys)
 
 
 def file_statistics(lines: DataFrame) -> DataFrame:
@@ -76,6 +83,19 @@ def tree_rows(archives: DataFrame, files: DataFrame) -> DataFrame:
     return of(a, "archive").unionByName(of(f, "file"))
 
 
+def tree_children(rows: DataFrame, parent: int | None, offset: int = 0, limit: int = 1000) -> DataFrame:
+    """One page of the children of a node of ``tree_rows``, archives first, then by name: what a view of the tree opens."""
+    d = rows.where(F.col("parent_id").eqNullSafe(F.lit(parent)))
+    return d.orderBy("node_kind", "name", "node_id").offset(offset).limit(limit)
+
+
+def tree_levels(rows: DataFrame) -> DataFrame:
+    """``node_kind, node_id, child_count, child_names`` of each archive: its children in their order, as a tree has them."""
+    kids = rows.where(F.col("parent_id").isNotNull()).groupBy("parent_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("node_kind", "name", "node_id"))).alias("c"))
+    d = rows.where(F.col("node_kind") == "archive").join(kids.withColumnRenamed("parent_id", "node_id"), "node_id", "left")
+    return d.select("node_kind", "node_id", F.coalesce("n", F.lit(0)).alias("child_count"), F.transform(F.coalesce("c", F.array()), lambda x: x["name"]).alias("child_names"))
+
+
 def last_versions(events: DataFrame, task: str, version: str) -> DataFrame:
     """Updates of a task that are newer than all before them: equal and older versions are skipped."""
     w = Window.partitionBy(task).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)

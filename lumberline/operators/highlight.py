@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumberline.plans.search_query import SearchTerm, quote, spans, term_pattern
 
-PER_PATTERN, IN_ALL, LONG, CONTEXT, GAP = 500, 2000, 1000, 50, 10
+LONG, CONTEXT, GAP = 1000, 50, 10
 _SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -28,10 +28,9 @@ def overlapping(literal: str, content: Column, case_sensitive: bool = False) ->
     return F.aggregate(before, zero, step, lambda a: a["out"])
 
 
-def highlight_ranges(terms: list[SearchTerm], content: Column) -> Column:
-    """Ranges to mark: by start, the longer first, none that overlaps one taken before."""
-    each = [F.slice(spans(term_pattern(t), content), 1, PER_PATTERN) for t in terms]
-    every = F.slice(F.concat(*each), 1, IN_ALL)
+def highlight_ranges(terms: list[SearchTerm], content: Column, most: int | None = None) -> Column:
+    """Ranges to mark: by start, the longer first, none that overlaps one taken before; the first ``most`` if asked."""
+    every = F.concat(*[spans(term_pattern(t), content) for t in terms])
     ordered = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"))))
     zero = F.struct(F.lit(-1).alias("end"), F.array().cast(_SPANS).alias("out"))
 
@@ -40,7 +39,8 @@ def highlight_ranges(terms: list[SearchTerm], content: Column) -> Column:
         taken = F.struct(end.alias("end"), F.concat(acc["out"], F.array(F.struct(s["start"].alias("start"), end.alias("end")))).alias("out"))
         return F.when(s["start"] < acc["end"], acc).otherwise(taken)
 
-    return F.aggregate(ordered, zero, step, lambda a: a["out"])
+    out = F.aggregate(ordered, zero, step, lambda a: a["out"])
+    return out if most is None else F.slice(out, 1, most)
 
 
 def snippets(ranges: Column, content: Column, context: int = CONTEXT) -> Column:

@@ -10,7 +10,8 @@ from lumberline.operators.line_filters import SearchFilters, line_predicate
 from lumberline.plans.search_query import SearchQuery, compile_query, match_details, matched_keywords, resolve
 from lumberline.session import cut
 
-MAX_RESULTS, MAX_PAGE = 100_000, 10_000
+#: How many results and rows a page have where the caller asks for no number.
+DEFAULT_RESULTS, DEFAULT_PAGE = 100_000, 1000
 
 
 def lines_of(texts: DataFrame, path: Column, text: Column, *more: Column) -> DataFrame:
@@ -28,33 +29,44 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return d.join(F.broadcast(base), "_p").select((F.col("_b") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("id"), *df.columns)
 
 
-def search(lines: DataFrame, query: str | SearchQuery, filters: SearchFilters | None = None, max_results: int | None = None, details: bool = True) -> DataFrame:
+def search(lines: DataFrame, query: str | SearchQuery, filters: SearchFilters | None = None, max_results: int | None = None, details: bool = True, key: str | None = None, ordered: bool = True) -> DataFrame:
     """Entries ``file, line, content, timestamp, level, real_path[, match_details, matched_keywords]`` in path and line order.
 
-    ``lines``: ``virtual_path, line, content, real_path``.  A limit keeps the first results in that order.
+    ``lines``: ``virtual_path, line, content, real_path``.  A limit keeps the first results in that order.  With ``key``
+    matching rows of one key count once, ahead of the order; without ``ordered`` there is no sort.  Times are worked out
+    for the matches alone, and on the scan only if they are filtered by.
     """
     q = resolve(query) if isinstance(query, str) else resolve(None, query)
-    d = lines.where(compile_query(q, F.col("content")))
     f = filters or SearchFilters()
-    d = lf.with_fields(d).where(line_predicate(f))
+    d = lines.where(compile_query(q, F.col("content")))
+    timed = any(f.range())
+    if timed:
+        d = lf.with_fields(d).where(line_predicate(f)).drop("ts", "level_mask")
+    else:
+        d = d.withColumn("level", lf.level(F.col("content"))).where(line_predicate(f))
+    if key is not None:
+        d = d.dropDuplicates([key])
+    if not timed:
+        d = d.withColumn("ts_text", lf.time_text(F.col("content")))
     if details and q.global_operator != "NOT":
         d = d.withColumn("match_details", match_details(q, F.col("content")))
         d = d.withColumn("matched_keywords", matched_keywords(F.col("match_details")))
     elif details:
         d = d.withColumn("match_details", F.lit(None)).withColumn("matched_keywords", F.lit(None).cast("array<string>"))
-    d = d.withColumnRenamed("virtual_path", "file").withColumnRenamed("ts_text", "timestamp").drop("ts", "level_mask")
-    d = d.orderBy("file", "line")
-    return d.limit(min(max_results, MAX_RESULTS)) if max_results is not None else d
+    d = d.withColumnRenamed("virtual_path", "file").withColumnRenamed("ts_text", "timestamp")
+    if ordered or max_results is not None:
+        d = d.orderBy("file", "line")
+    return d.limit(max_results) if max_results is not None else d
 
 
-def truncated(lines: DataFrame, query: str | SearchQuery, max_results: int) -> bool:
+def truncated(lines: DataFrame, query: str | SearchQuery, max_results: int, filters: SearchFilters | None = None) -> bool:
     """Whether more results exist than the limit."""
-    return search(lines, query, None, max_results + 1, False).count() > max_results
+    return search(lines, query, filters, None, False, ordered=False).limit(max_results + 1).count() > max_results
 
 
-def page(results: DataFrame, offset: int, limit: int) -> tuple[DataFrame, dict]:
+def page(results: DataFrame, offset: int, limit: int = DEFAULT_PAGE) -> tuple[DataFrame, dict]:
     """One page of numbered results (``id`` from 0) by a range of ids, and where it stands."""
-    n, limit = results.count(), min(limit, MAX_PAGE)
+    n = results.count()
     end = min(n, offset + limit)
     return results.where((F.col("id") >= offset) & (F.col("id") < offset + limit)).orderBy("id"), {"total_count": n, "has_more": end < n, "next_offset": end if end < n else None, "total_pages": -(-n // limit) if limit else 0}
 

@@ -1,7 +1,8 @@
 """Archives as a Spark source: zip, tar and gzip, nested to a depth, with limits, safe names and cycle detection.
 
 An archive is one task's work, as its entries can only be read in order; a directory of them is as parallel as it has
-archives.  Entries are streamed out one by one, so a worker holds one entry of each level at a time.
+archives.  Entries are handed out as they are read, so a worker holds the archive, one entry of each level and one
+batch of entries at a time.
 """
 
 from __future__ import annotations
@@ -11,25 +12,43 @@ import hashlib
 import io
 import re
 import tarfile
+import tempfile
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib.util import find_spec
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIXES = {".zip": "zip", ".tar": "tar", ".tar.gz": "tar", ".tgz": "tar", ".gz": "gz", ".7z": "7z", ".rar": "rar"}
+#: Packages that read the kinds the standard library can't; without one, an archive of the kind is reported.
+READERS = {"7z": "py7zr", "rar": "rarfile"}
 SCHEMA = "source string, virtual_path string, depth int, size bigint, sha256_hash string, content binary, problem string"
 
 
 @dataclass(frozen=True)
 class Limits:
-    max_file: int = 100 << 20
-    max_total: int = 1 << 30
-    max_count: int = 1000
+    """What an entry or archive may have; None is no limit.  Entries beyond one are reported, not read."""
+
+    max_file: int | None = None
+    max_total: int | None = None
+    max_count: int | None = None
     max_depth: int = 10
-    gz_ratio: float = 100.0
+    gz_ratio: float | None = None
+    max_path: int | None = None
+
+
+#: Limits for archives that aren't trusted.
+STRICT = Limits(100 << 20, 1 << 30, 1000, 10, 100.0, 1024)
+#: Bytes of contents that a worker gathers before it hands them out.
+BATCH_BYTES = 16 << 20
+
+
+def _over(value: float, limit: float | None) -> bool:
+    return limit is not None and value > limit
 
 
 def kind_of(name: str) -> str | None:
@@ -49,8 +68,8 @@ def safe_name(name: str) -> str | None:
 def _entries(kind: str, raw: bytes, name: str, limits: Limits) -> Iterator[tuple[str, bytes | None, str | None]]:
     """Name, bytes and problem of each entry; zip and tar leave out what is beyond a limit, gzip fails as a whole."""
     if kind == "gz":
-        out = gzip.GzipFile(fileobj=io.BytesIO(raw)).read(limits.max_file + 1)
-        if len(out) > limits.max_file or (len(out) > 1 << 20 and len(out) > limits.gz_ratio * len(raw)):
+        out = gzip.GzipFile(fileobj=io.BytesIO(raw)).read(-1 if limits.max_file is None else limits.max_file + 1)
+        if _over(len(out), limits.max_file) or (limits.gz_ratio is not None and len(out) > 1 << 20 and len(out) > limits.gz_ratio * len(raw)):
             raise ValueError("gzip beyond its limits")
         yield re.sub(r"\.gz$", "", name.rsplit("/", 1)[-1], flags=re.I), out, None
         return
@@ -60,11 +79,29 @@ def _entries(kind: str, raw: bytes, name: str, limits: Limits) -> Iterator[tuple
         safe = safe_name(path)
         if safe is None:
             return path, "unsafe name"
-        if size > limits.max_file or total + size > limits.max_total or count >= limits.max_count:
+        if _over(size, limits.max_file) or _over(total + size, limits.max_total) or _over(count + 1, limits.max_count):
             return safe, "beyond a limit"
         return safe, None
 
-    if kind == "zip":
+    if kind == "7z":
+        import py7zr
+
+        with py7zr.SevenZipFile(io.BytesIO(raw)) as z:
+            infos = [i for i in z.list() if not i.is_directory]
+            checked = [(i.filename, *check(i.filename, i.uncompressed)) for i in infos]
+        with tempfile.TemporaryDirectory() as at, py7zr.SevenZipFile(io.BytesIO(raw)) as z:
+            z.extract(at, targets=[n for n, _, bad in checked if bad is None])
+            for n, path, bad in checked:
+                yield path, None if bad else Path(at, n).read_bytes(), bad
+    elif kind == "rar":
+        import rarfile
+
+        with rarfile.RarFile(io.BytesIO(raw)) as z:
+            for i in z.infolist():
+                if not i.is_dir():
+                    path, bad = check(i.filename, i.file_size)
+                    yield path, None if bad else z.read(i), bad
+    elif kind == "zip":
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
             for i in z.infolist():
                 if i.is_dir():
@@ -95,7 +132,7 @@ def expand(name: str, raw: bytes, limits: Limits = Limits()) -> Iterator[tuple[s
         digest = hashlib.sha256(data).hexdigest()
         if kind is None or depth >= limits.max_depth:
             return path, depth, data, None
-        if kind in ("7z", "rar"):
+        if kind in READERS and find_spec(READERS[kind]) is None:
             return path, depth, data, f"{kind} is not supported"
         if digest in open_hashes:
             return path, depth, None, "an archive within itself"
@@ -113,13 +150,13 @@ def expand(name: str, raw: bytes, limits: Limits = Limits()) -> Iterator[tuple[s
             stack.pop()
             open_hashes.pop()
             continue
-        except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, ValueError) as e:
+        except Exception as e:  # whatever a reader makes of a damaged archive
             stack.pop()
             open_hashes.pop()
             yield base, depth, None, f"unreadable: {e}"
             continue
         full = f"{base}/{path}"
-        if len(full.encode()) > 1024:
+        if _over(len(full.encode()), limits.max_path):
             yield full, depth + 1, None, "path too long"
         elif data is None:
             yield full, depth + 1, None, bad
@@ -127,19 +164,31 @@ def expand(name: str, raw: bytes, limits: Limits = Limits()) -> Iterator[tuple[s
             yield leaf
 
 
-def read_archives(spark: SparkSession, path: str, limits: Limits = Limits(), glob: str = "*") -> DataFrame:
-    """Every file under ``path``, archives expanded: rows of ``SCHEMA``."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+def expand_archives(raw: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Every file of ``path, content``, archives expanded: rows of ``SCHEMA``, handed out ``BATCH_BYTES`` at a time."""
 
     def run(frames):
+        rows, size = [], 0
         for f in frames:
             for src, data in zip(f["path"], f["content"], strict=True):
                 for p, d, b, bad in expand(src.rsplit("/", 1)[-1], bytes(data), limits):
-                    yield pd.DataFrame({"source": [src], "virtual_path": [p], "depth": [d], "size": [None if b is None else len(b)], "sha256_hash": [None if b is None else hashlib.sha256(b).hexdigest()], "content": [b], "problem": [bad]})
-
+                    rows.append((src, p, d, None if b is None else len(b), None if b is None else hashlib.sha256(b).hexdigest(), b, bad))
+                    size += len(b or b"") + 1000
+                    if size > BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
     return raw.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def read_archives(spark: SparkSession, path: str, limits: Limits = Limits(), glob: str = "*") -> DataFrame:
+    """Every file under ``path``, archives expanded: rows of ``SCHEMA``.  A file is one row, so of 2 GB at most."""
+    return expand_archives(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path), limits)
+
+
 def read_directory(spark: SparkSession, path: str, max_depth: int | None = None) -> DataFrame:
     """Plain files under a directory: ``virtual_path, size, modified_time, sha256_hash, content``, to a depth if given."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

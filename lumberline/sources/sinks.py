@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumberline.operators.search import numbered, page
-from lumberline.session import delete_path, scratch_path
+from lumberline.session import cut, delete_path, drop_cut, scratch_path, stored_bytes
 
+#: Bytes of stored rows for each file of a JSON export.
+EXPORT_BYTES = 128 << 20
 CSV_COLUMNS = ("id", "timestamp", "level", "file", "line", "content")
+#: The byte-order mark and header of a CSV export.
+CSV_HEAD = "\ufeffID,Timestamp,Level,File,Line,Content"
 
 
 class ResultSessions:
@@ -20,14 +24,16 @@ class ResultSessions:
     def __init__(self, spark: SparkSession, capacity: int = 50) -> None:
         self.spark, self.capacity, self.paths = spark, capacity, OrderedDict()
 
-    def store(self, search_id: str, results: DataFrame) -> str:
+    def store(self, search_id: str, results: DataFrame, most: int | None = None) -> bool:
+        """Keep the results, the first ``most`` if asked; whether there were more."""
         at = scratch_path(self.spark, f"results-{search_id}")
-        numbered(results, "file", "line").write.parquet(at)
+        d = numbered(results, "file", "line")
+        (d if most is None else d.where(F.col("id") < most)).write.parquet(at)
         self.drop(search_id)
         self.paths[search_id] = at
         while len(self.paths) > self.capacity:
             self.drop(next(iter(self.paths)))
-        return at
+        return most is not None and not d.where(F.col("id") >= most).isEmpty()
 
     def results(self, search_id: str) -> DataFrame:
         return self.spark.read.parquet(self.paths[search_id])
@@ -46,10 +52,36 @@ def csv_line(results: DataFrame) -> Column:
     return F.concat_ws(",", *[q(c) if c in ("file", "content") else F.col(c).cast("string") for c in CSV_COLUMNS])
 
 
+def _rename_parts(spark: SparkSession, path: str, suffix: str) -> None:
+    """Give the files of a written text the suffix of what they hold."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(at):
+        name = f.getPath().getName()
+        if name.startswith("part-") and name.endswith(".txt"):
+            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(at, name.removesuffix(".txt") + suffix))
+
+
+def _write_document(results: DataFrame, value: Column, head: str, end: str | None, path: str, suffix: str) -> None:
+    """Rows of text as one document, whose parts are the files of ``path`` in the order of their names.
+
+    ``value`` may ask by ``_first`` whether a row is the first.  Rows keep their order; none goes through the driver.
+    """
+    spark = results.sparkSession
+    d = cut(spark, results.withColumn("_m", F.monotonically_increasing_id()), "export")
+    first = d.agg(F.min("_m")).first()[0]
+    edges = spark.createDataFrame([(-1, head), *([] if end is None else [((1 << 63) - 1, end)])], "_m bigint, value string")
+    every = d.withColumn("_first", F.col("_m") == F.lit(first or 0)).select("_m", value.alias("value")).unionByName(edges)
+    parts = max(1, -(-stored_bytes(spark, d._lumberline_path) // EXPORT_BYTES))
+    every.repartitionByRange(parts, "_m").sortWithinPartitions("_m").select("value").write.mode("overwrite").text(path)
+    _rename_parts(spark, path, suffix)
+    drop_cut(d)
+
+
 def write_csv(results: DataFrame, path: str) -> None:
-    """CSV with one byte-order mark and a header ahead of the rows of each file."""
-    df = results.select(*[F.col(c).alias(c if i else "﻿ID") if not i else F.col(c).alias(c.capitalize()) for i, c in enumerate(CSV_COLUMNS)])
-    df.write.mode("overwrite").option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
+    """One CSV document: a byte-order mark and the header, then the rows."""
+    _write_document(results, csv_line(results), CSV_HEAD, None, path, ".csv")
 
 
 def json_rows(results: DataFrame) -> DataFrame:
@@ -57,9 +89,17 @@ def json_rows(results: DataFrame) -> DataFrame:
 
 
 def write_json(results: DataFrame, path: str, export_time: str) -> dict:
-    """Results as JSON lines, and the head of the document (time and count)."""
-    json_rows(results).write.mode("overwrite").text(path)
-    return json.loads(json.dumps({"exportTime": export_time, "totalCount": results.count()}))
+    """One JSON document, ``{"metadata": {"exportTime", "totalCount"}, "results": [...]}``."""
+    row = F.concat(F.when(F.col("_first"), F.lit("")).otherwise(F.lit(",")), F.to_json(F.struct(*results.columns)))
+    meta = {"exportTime": export_time, "totalCount": results.count()}
+    _write_document(results, row, f'{{"metadata": {json.dumps(meta, ensure_ascii=False)}, "results": [', "]}", path, ".json")
+    return meta
+
+
+def document_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``pos, value``: the lines of an exported document in their order."""
+    rows = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
+    return numbered(rows, "file", "line").select(F.col("id").alias("pos"), "value")
 
 
 def object_path(digest: Column) -> Column:
