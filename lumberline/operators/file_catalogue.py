@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumberline.operators.compaction import replace_path
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key: an aggregate with map-side combine, no window."""
@@ -32,6 +36,20 @@ def merge_rows(old: DataFrame, new: DataFrame, keys: list[str], order: list[Colu
     return upsert(old, latest(new, keys, order), keys)
 
 
+def delete_rows(spark: SparkSession, path: str, gone: Column) -> None:
+    """Rewrite a stored table without the rows ``gone`` holds for; it stays as it was if that fails."""
+    stage = f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
+    spark.read.parquet(path).where(~F.coalesce(gone, F.lit(False))).write.parquet(stage)
+    replace_path(spark, stage, path)
+
+
+def refreshed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``virtual_path, state`` of each path of ``new`` against ``old``: new, changed (another digest) or unchanged."""
+    of = lambda d: d.groupBy("virtual_path").agg(F.max("sha256_hash").alias("h"))
+    d = of(new).join(of(old).withColumnRenamed("h", "_h").withColumn("_old", F.lit(True)), "virtual_path", "left")
+    return d.select("virtual_path", F.when(F.col("_old").isNull(), "new").when(F.col("h").eqNullSafe(F.col("_h")), "unchanged").otherwise("changed").alias("state"))
+
+
 def file_statistics(lines: DataFrame) -> DataFrame:
     """``virtual_path, min_timestamp, max_timestamp, level_mask`` of parsed lines: exact, from all of them."""
     ts = F.unix_seconds(F.col("ts").cast("timestamp"))

@@ -11,25 +11,31 @@ import gzip
 import io
 import os
 import tarfile
+import threading
+import time
 import zipfile
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumberline.functions import logfields as lf
 from lumberline.operators import file_catalogue as fc
-from lumberline.operators import highlight, import_safety, text_index
+from lumberline.operators import compaction, highlight, import_safety, text_index
 from lumberline.operators import search as se
+from lumberline.operators.token_index import TokenIndex, stemmed
 from lumberline.operators.line_filters import SearchFilters, file_matches, glob_text, import_allowed, is_binary, line_predicate, path_problem, prune_files
 from lumberline.plans import problems
 from lumberline.plans import search_query as sq
 from lumberline.plans.problems import table
 from lumberline.session import cut, scratch_path
 from lumberline.sources import archives, sinks
-from lumberline.streaming import tail
+from lumberline.streaming import events, tail
+from lumberline.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -154,38 +160,98 @@ def _tar(rows, mode="w:gz") -> bytes:
     return b.getvalue()
 
 
-def _archive_query(name: str, file: str, make: Callable[[list], bytes]):
+def _packed(spark: SparkSession, d: str, suffix: str, make: Callable[[list], bytes]) -> DataFrame:
+    """``path, content``: all documents as entries of archives of 200 document ids each, made by the executors."""
+    docs = table(spark, d, "documents").select(F.expr("doc_id div 200").alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("t"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(f"{i}.txt", t.encode()) for i, t in zip(pdf["doc_id"], pdf["t"], strict=True)]
+        return pd.DataFrame({"path": [f"{pdf['k'].iloc[0]}{suffix}"], "content": [make(rows)]})
+
+    return docs.groupBy("k").applyInPandas(pack, "path string, content binary")
+
+
+_ENTRY = ("virtual_path", "depth", "size", "sha256_hash", "problem")
+_DOCS_AS = "SELECT {0} AS virtual_path, {1} AS depth, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, sha256(coalesce(text, '')) AS sha256_hash, CAST(NULL AS VARCHAR) AS problem FROM documents"
+
+
+@register("src_zip", _DOCS_AS.format("(doc_id // 200) || '.zip/' || doc_id || '.txt'", 1))
+def src_zip(spark, d):
+    return archives.expand_archives(_packed(spark, d, ".zip", _zip)).select(*_ENTRY)
+
+
+@register("src_tar", _DOCS_AS.format("(doc_id // 200) || '.tar.gz/' || doc_id || '.txt'", 1))
+def src_tar(spark, d):
+    return archives.expand_archives(_packed(spark, d, ".tar.gz", _tar)).select(*_ENTRY)
+
+
+@register("src_gz", _DOCS_AS.format("doc_id || '.txt.gz/' || doc_id || '.txt'", 1))
+def src_gz(spark, d):
+    def pack(frames):
+        for f in frames:
+            yield pd.DataFrame({"path": [f"{i}.txt.gz" for i in f["doc_id"]], "content": [gzip.compress((t or "").encode(), 1) for t in f["text"]]})
+
+    return archives.expand_archives(table(spark, d, "documents").select("doc_id", "text").mapInPandas(pack, "path string, content binary")).select(*_ENTRY)
+
+
+def _five(paths: str, depth: int | str) -> str:
+    """SQL of the entries that hold the five made-up files, by their place ``i``."""
+    return f"SELECT {paths} AS virtual_path, {depth} AS depth, CAST(strlen(c) AS BIGINT) AS size, sha256(c) AS sha256_hash, CAST(NULL AS VARCHAR) AS problem FROM five"
+
+
+_FIVE = "WITH five AS (SELECT i, '2024-01-0' || (i + 1) || ' 10:00:00 [INFO] LEVEL' || i || chr(10) || '2024-01-0' || (i + 1) || ' 10:01:00 [ERROR] down ' || i || chr(10) AS c FROM range(5) t(i)) "
+
+
+def _archive_query(name: str, file: str, make: Callable[[list], bytes], sql: str):
     def q(spark: SparkSession, d: str) -> DataFrame:
         at = _bundle(spark, d, name, lambda p, rows: (p / file).write_bytes(make(rows)))
-        return archives.read_archives(spark, at).select("virtual_path", "depth", "size", "sha256_hash", "problem")
+        return archives.read_archives(spark, at).select(*_ENTRY)
+
+    register(name, sql)(q)
 
-    register(name)(q)
 
+def _unread(name: str, kind: str, head: str) -> str:
+    return f"SELECT '{name}' AS virtual_path, 0 AS depth, CAST(octet_length(from_hex('{head}')) AS BIGINT) AS size, sha256(from_hex('{head}')) AS sha256_hash, '{kind} is not supported' AS problem"
 
-_archive_query("src_zip", "a.zip", _zip)
-_archive_query("src_tar", "a.tar.gz", _tar)
-_archive_query("src_gz", "a.log.gz", lambda rows: gzip.compress(rows[0][1]))
-_archive_query("src_7z", "a.7z", lambda rows: b"7z\xbc\xaf\x27\x1c")
-_archive_query("src_rar", "a.rar", lambda rows: b"Rar!\x1a\x07")
-_archive_query("src_nested", "outer.zip", lambda rows: _zip([("inner.zip", _zip(rows[:2])), ("logs/deep.tar.gz", _tar([("x/in.zip", _zip(rows[2:4]))])), rows[4], ("../evil.log", b"x")]))
-_archive_query("src_nested_iter", "outer.tar", lambda rows: _tar([("a.zip", _zip([("b.zip", _zip(rows))]))], "w"))
 
+_archive_query("src_7z", "a.7z", lambda rows: b"7z\xbc\xaf\x27\x1c", _unread("a.7z", "7z", "377ABCAF271C"))
+_archive_query("src_rar", "a.rar", lambda rows: b"Rar!\x1a\x07", _unread("a.rar", "rar", "526172211A07"))
+_archive_query(
+    "src_nested", "outer.zip", lambda rows: _zip([("inner.zip", _zip(rows[:2])), ("logs/deep.tar.gz", _tar([("x/in.zip", _zip(rows[2:4]))])), rows[4], ("../evil.log", b"x")]),
+    _FIVE + _five("'outer.zip/' || CASE WHEN i < 2 THEN 'inner.zip/' WHEN i < 4 THEN 'logs/deep.tar.gz/x/in.zip/' ELSE '' END || 'part-' || i || '.log'", "CASE WHEN i < 2 THEN 2 WHEN i < 4 THEN 3 ELSE 1 END") + " UNION ALL SELECT 'outer.zip/../evil.log', 1, NULL, NULL, 'unsafe name'",
+)
+_archive_query("src_nested_iter", "outer.tar", lambda rows: _tar([("a.zip", _zip([("b.zip", _zip(rows))]))], "w"), _FIVE + _five("'outer.tar/a.zip/b.zip/part-' || i || '.log'", 3))
 
-@register("src_dir_walk")
+
+@register("src_dir_walk", _FIVE + "SELECT 'sub/part-' || i || '.log' AS virtual_path, CAST(strlen(c) AS BIGINT) AS size, sha256(c) AS sha256_hash FROM five")
 def src_dir_walk(spark, d):
     at = _bundle(spark, d, "walk", lambda p, rows: [((p / "sub").mkdir(exist_ok=True), (p / "sub" / n).write_bytes(c)) for n, c in rows])
     return archives.read_directory(spark, at).select("virtual_path", "size", "sha256_hash")
 
 
-@register("src_cas_read")
+def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with their digests, and the objects these name, written once for each content."""
+    t = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return t.select("doc_id", F.sha2("content", 256).alias("sha256_hash")), cut(spark, sinks.new_objects(t), "objects")
+
+
+@register("src_cas_read", "SELECT doc_id, text AS content FROM documents WHERE text IS NOT NULL")
 def src_cas_read(spark, d):
-    at = _bundle(spark, d, "objects", lambda p, rows: [(p / n).write_bytes(c) for n, c in rows])
-    return archives.read_directory(spark, at).select("sha256_hash", F.decode("content", "UTF-8").alias("content"))
+    names, objects = _stored(spark, d)
+    return sinks.read_objects(names, objects).select("doc_id", F.decode("content", "UTF-8").alias("content"))
+
 
+@register("src_mmap", "SELECT doc_id, hex(encode(left(text, 1))) AS first FROM documents WHERE text IS NOT NULL")
+def src_mmap(spark, d):
+    """A range of bytes of each object: here those of the first character."""
+    names, objects = _stored(spark, d)
+    n = F.octet_length(F.substring(F.decode("content", "UTF-8"), 1, 1))
+    return sinks.read_objects(names, objects).select("doc_id", F.hex(F.substring("content", F.lit(1), n)).alias("first"))
 
-@register("src_index_open", f"WITH {_L} SELECT count(*) AS n FROM l")
+
+@register("src_index_open", f"WITH {_L} SELECT count(*) AS n FROM l WHERE content IS NOT NULL")
 def src_index_open(spark, d):
-    return unique(table(spark, d, "log_index").select("id")).agg(F.count("*").alias("n"))
+    return token_index(spark, d).docs.agg(F.count("*").alias("n"))
 
 
 # ---- projections ------------------------------------------------------------------------------------------------
@@ -251,16 +317,23 @@ def prj_iso(spark, d):
     return distinct_files(spark, d).select("id", lf.iso(F.col("min_timestamp")).alias("iso"))
 
 
-@register("prj_decode", "SELECT doc_id, text, 'UTF-8' AS encoding FROM documents WHERE text IS NOT NULL")
+_BYTES = (("C4E3BAC3", "你好", "GBK"), ("E9FF", "éÿ", "Windows-1252"), ("616263FF", "abc�", "UTF-8-Lossy"), ("", "", "UTF-8"))
+
+
+@register("prj_decode", "SELECT doc_id, text, CASE WHEN text IS NOT NULL THEN 'UTF-8' END AS encoding FROM documents UNION ALL SELECT -doc_id - 10, text || chr(65533), 'UTF-8-Lossy' FROM documents WHERE length(text) > 2 UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, '{t}', '{e}')" for i, (_, t, e) in enumerate(_BYTES)) + ") v(doc_id, text, encoding)")
 def prj_decode(spark, d):
-    t = table(spark, d, "documents").where(F.col("text").isNotNull())
-    return t.select("doc_id", lf.decode_bytes(F.encode("text", "UTF-8")).alias("x")).select("doc_id", "x.text", "x.encoding")
+    """All texts as they are, those of over two characters with a stray byte, too, and bytes of other encodings."""
+    t = table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"), F.length("text").alias("n"))
+    stray = t.where(F.col("n") > 2).select((-F.col("doc_id") - 10).alias("doc_id"), F.concat("b", F.lit(b"\xff")).alias("b"))
+    other = spark.createDataFrame([(-1 - i, bytearray.fromhex(h)) for i, (h, _, _) in enumerate(_BYTES)], "doc_id bigint, b binary")
+    return lf.decode_column(t.drop("n").unionByName(stray).unionByName(other), "b", "x").select("doc_id", "x.text", "x.encoding")
 
 
-@register("prj_decode_name", f"WITH {_F} SELECT id, original_name AS name FROM f WHERE original_name IS NOT NULL")
+@register("prj_decode_name", f"WITH {_F} SELECT id, CASE WHEN length(original_name) > 2 THEN original_name || chr(65533) ELSE original_name END AS name FROM f")
 def prj_decode_name(spark, d):
-    f = distinct_files(spark, d).where(F.col("original_name").isNotNull())
-    return f.select("id", lf.decode_bytes(F.encode("original_name", "UTF-8"))["text"].alias("name"))
+    raw = F.encode("original_name", "UTF-8")
+    f = distinct_files(spark, d).select("id", F.when(F.length("original_name") > 2, F.concat(raw, F.lit(b"\xff"))).otherwise(raw).alias("b"))
+    return lf.decode_column(f, "b", "x").select("id", F.col("x.text").alias("name"))
 
 
 @register("prj_entry_id", f"WITH {_EV} SELECT virtual_path, line, row_number() OVER (ORDER BY virtual_path, line) - 1 AS id FROM e")
@@ -268,10 +341,10 @@ def prj_entry_id(spark, d):
     return se.numbered(event_lines(spark, d).select("virtual_path", "line"), "virtual_path", "line")
 
 
-@register("prj_doc_to_entry", "SELECT DISTINCT id, CAST(timestamp AS VARCHAR) AS timestamp, level, file_path AS file, line_number AS line, content FROM log_index WHERE timestamp IS NOT NULL AND level IS NOT NULL AND file_path IS NOT NULL AND line_number IS NOT NULL AND content IS NOT NULL")
+@register("prj_doc_to_entry", "SELECT DISTINCT id, CAST(timestamp AS VARCHAR) AS timestamp, level, file_path AS file, line_number AS line, content FROM log_index")
 def prj_doc_to_entry(spark, d):
     t = table(spark, d, "log_index").select("id", F.col("timestamp").cast("string").alias("timestamp"), "level", F.col("file_path").alias("file"), F.col("line_number").alias("line"), "content")
-    return unique(t.na.drop())
+    return unique(t)
 
 
 # ---- search: matching, boolean logic, filters -----------------------------------------------------------------
@@ -393,10 +466,15 @@ def flt_tantivy(spark, d):
     return unique(t.where(F.array_contains(text_index.tokenize(F.col("content")), "session")).select("id"))
 
 
-@register("flt_import_binary", "SELECT doc_id, false AS binary FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '^(BM|GIF|MZ|ID3|RIFF)')")
+_HEADS = ("", "FFD8FF", "504B0304", "00" * 64, "00" * 40, "00" * 4)
+
+
+@register("flt_import_binary", "SELECT doc_id, i, i IN (1, 2, 3) OR i = 4 AND strlen(text) < 760 OR i = 5 AND strlen(text) < 76 OR i = 0 AND regexp_matches(text, '^(BM|GIF|MZ|ID3|RIFF)') AS binary FROM documents, range(6) t(i) WHERE text IS NOT NULL")
 def flt_import_binary(spark, d):
-    t = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike("^(BM|GIF|MZ|ID3|RIFF)"))
-    return t.select("doc_id", is_binary(F.encode("text", "UTF-8")).alias("binary"))
+    """Every text as it is, after two signatures, and after 64, 40 and 4 zero bytes."""
+    heads = F.array(*[F.unhex(F.lit(h)) for h in _HEADS])
+    t = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text", F.posexplode(heads).alias("i", "head"))
+    return t.select("doc_id", F.col("i").cast("bigint").alias("i"), is_binary(F.concat("head", F.encode("text", "UTF-8"))).alias("binary"))
 
 
 @register("flt_import_rules", f"WITH {_F} SELECT id, regexp_matches(n, 'syslog|messages|system|stdout|stderr|.*log.*|.*error.*|.*access.*|.*\\.20.*') OR regexp_extract(n, '(?s)^.+\\.([^.]*)$', 1) IN ('log', 'txt', 'json', 'xml', 'csv') AS allowed FROM (SELECT id, lower(regexp_extract(original_name, '([^/]*)$', 1)) AS n FROM f WHERE original_name IS NOT NULL)")
@@ -409,7 +487,7 @@ def flt_path_safety(spark, d):
     return distinct_files(spark, d).select("id", path_problem(F.col("virtual_path")).alias("problem"))
 
 
-@register("flt_symlink")
+@register("flt_symlink", "SELECT * FROM (VALUES ('a.tar/a.log', NULL), ('l.tar/l.log', 'link')) t(virtual_path, problem)")
 def flt_symlink(spark, d):
     b = _tar([("a.log", b"x\n")], "w")
     link = io.BytesIO()
@@ -429,7 +507,7 @@ _W = "regexp_matches(content, '(?i)timeout|damaged')"
 
 @register("e_scan_filter", f"WITH {_L} SELECT id, virtual_path AS file, line, {_LV} AS level FROM l WHERE {_W} AND {_LV} = 'error'")
 def e_scan_filter(spark, d):
-    return unique(se.search(lines(spark, d), _Q, SearchFilters(("error",)), details=False).select("id", "file", "line", "level"))
+    return se.search(lines(spark, d), _Q, SearchFilters(("error",)), details=False, key="id", ordered=False).select("id", "file", "line", "level")
 
 
 @register("e_use_case", f"WITH {_EV} SELECT id, virtual_path AS file, line, content, left(content, 19) AS timestamp, {_LV} AS level FROM e WHERE regexp_matches(content, '(?i)error|timeout') AND {_LV} IN ('error', 'warn') ORDER BY virtual_path, line LIMIT 1000")
@@ -528,34 +606,45 @@ def c_snippet(spark, d):
 # ---- token index -------------------------------------------------------------------------------------------------
 
 _TOK = "list_filter(string_split_regex(lower(content), '[^\\p{L}\\p{N}]+'), lambda t: t <> '' AND length(t) <= 40)"
+_STEMS = f"list_transform({_TOK}, lambda t: regexp_replace(regexp_replace(t, '([a-z]{{3}})ies$', '\\1y'), '([a-z]{{3}})(ing|ed|es|s)$', '\\1'))"
+_indexes: dict[tuple[str, str], TokenIndex] = {}
+
 
+def token_index(spark: SparkSession, d: str) -> TokenIndex:
+    """The index of the log's lines, written once for a session and folder."""
+    at = spark.sparkContext.applicationId, d
+    if at not in _indexes:
+        _indexes[at] = TokenIndex(spark, scratch_path(spark, "token-index")).add(lines(spark, d).where(F.col("content").isNotNull()))
+    return _indexes[at]
 
-@register("i_tokenize", f"WITH {_L} SELECT id, CAST(len({_TOK}) AS INTEGER) AS n FROM l WHERE content IS NOT NULL")
+
+@register("i_tokenize", f"WITH {_L} SELECT id, CAST(len({_STEMS}) AS INTEGER) AS n, {_STEMS}[1] AS first FROM l WHERE content IS NOT NULL")
 def i_tokenize(spark, d):
-    return unique(lines(spark, d).where(F.col("content").isNotNull()).select("id", F.size(text_index.tokenize(F.col("content"))).alias("n")))
+    k = stemmed(F.col("content"))
+    return unique(lines(spark, d).where(F.col("content").isNotNull()).select("id", F.size(k).alias("n"), F.try_element_at(k, F.lit(1)).alias("first")))
 
 
 _queries_table("i_parse_query", lambda: [(q, ",".join(text_index.keywords(q))) for q in ('hello "world war" foo', "a  b", '"x y', "")], "query string, parts string", "SELECT * FROM (VALUES ('hello \"world war\" foo', 'hello,world war,foo'), ('a  b', 'a,b'), ('\"x y', 'x y'), ('', '')) t(query, parts)")
 
 
-@register("i_search", f"WITH {_L} SELECT id FROM l WHERE list_contains({_TOK}, 'session') AND NOT list_contains({_TOK}, 'closed')")
+@register("i_search", f"WITH {_L} SELECT id FROM l WHERE list_contains({_STEMS}, 'session') AND NOT list_contains({_STEMS}, 'clos')")
 def i_search(spark, d):
-    return unique(lines(spark, d).where(text_index.boolean_predicate("+session -closed", text_index.tokenize(F.col("content")))).select("id"))
+    return token_index(spark, d).search("+session -closed")
 
 
-@register("i_multi_keyword", f"WITH {_L} SELECT id FROM l WHERE list_contains({_TOK}, 'cache') AND list_contains({_TOK}, 'key')")
+@register("i_multi_keyword", f"WITH {_L} SELECT id FROM l WHERE list_contains({_STEMS}, 'cache') AND list_contains({_STEMS}, 'key')")
 def i_multi_keyword(spark, d):
-    return unique(lines(spark, d).where(text_index.multi_keyword(text_index.tokenize(F.col("content")), ["cache", "key"], True)).select("id"))
+    return token_index(spark, d).multi_keyword(["cache", "key"], True)
 
 
-_BM = f"""WITH {_L}, t AS (SELECT id, {_TOK} AS k FROM l WHERE content IS NOT NULL), x AS (SELECT id, len(k) AS n, len(list_filter(k, lambda w: w = 'queue')) AS a, len(list_filter(k, lambda w: w = 'slots')) AS b FROM t),
+_BM = f"""WITH {_L}, t AS (SELECT id, {_STEMS} AS k FROM l WHERE content IS NOT NULL), x AS (SELECT id, len(k) AS n, len(list_filter(k, lambda w: w = 'queue')) AS a, len(list_filter(k, lambda w: w = 'slot')) AS b FROM t),
 s AS (SELECT count(*) AS nn, avg(n) AS av, sum(CASE WHEN a > 0 THEN 1 ELSE 0 END) AS da, sum(CASE WHEN b > 0 THEN 1 ELSE 0 END) AS db FROM x)
 SELECT id, round(ln(1 + (nn - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / av)) + ln(1 + (nn - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / av)), 6) AS score FROM x, s WHERE a > 0 OR b > 0"""
 
 
 @register("i_score", _BM)
 def i_score(spark, d):
-    return text_index.bm25(unique(lines(spark, d).where(F.col("content").isNotNull())), "id", ["queue", "slots"])
+    return token_index(spark, d).score(["queue", "slots"])
 
 
 @register("l_topk", _BM + " ORDER BY score DESC, id LIMIT 100")
@@ -563,35 +652,43 @@ def l_topk(spark, d):
     return text_index.top_k(i_score(spark, d), "id", 100)
 
 
-@register("a_index_count", f"WITH {_L} SELECT count(*) AS n FROM l WHERE list_contains({_TOK}, 'queue')")
+@register("a_index_count", f"WITH {_L} SELECT count(*) AS n FROM l WHERE list_contains({_STEMS}, 'queue')")
 def a_index_count(spark, d):
-    return unique(lines(spark, d).where(F.array_contains(text_index.tokenize(F.col("content")), "queue")).select("id")).agg(F.count("*").alias("n"))
+    i = token_index(spark, d)
+    return i.postings(i.stems(["queue"])).agg(F.count("*").alias("n"))
 
 
-@register("a_term_selectivity", f"WITH {_L} SELECT w AS term, avg(CASE WHEN list_contains({_TOK}, w) THEN 1.0 ELSE 0.0 END) AS selectivity FROM l, (VALUES ('cache'), ('queue')) t(w) WHERE content IS NOT NULL GROUP BY 1")
+@register("a_term_selectivity", f"WITH {_L} SELECT w AS term, avg(CASE WHEN list_contains({_STEMS}, w) THEN 1.0 ELSE 0.0 END) AS selectivity FROM l, (VALUES ('cache'), ('queue')) t(w) WHERE content IS NOT NULL GROUP BY 1")
 def a_term_selectivity(spark, d):
-    return text_index.selectivity(unique(lines(spark, d).where(F.col("content").isNotNull())), ["cache", "queue"])
+    return token_index(spark, d).selectivity(["cache", "queue"])
 
 
 _ESC = "replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
 
-@register("i_highlight", f"WITH {_L} SELECT id, regexp_replace({_ESC}, '(?i)(queue)', '<b>\\1</b>', 'g') AS html FROM l WHERE regexp_matches(content, '(?i)queue') AND length(content) <= 500")
+def _marked(word: str, text: str = "content") -> str:
+    """SQL of the part of a text around a word, escaped and marked."""
+    part = f"(CASE WHEN length({text}) <= 500 THEN {text} ELSE substr({text}, greatest(1, strpos(lower({text}), '{word}') - 100), 500) END)"
+    return f"regexp_replace({_ESC.replace('replace(content,', f'replace({part},')}, '(?i)({word})', '<b>\\1</b>', 'g')"
+
+
+@register("i_highlight", f"WITH {_L} SELECT id, {_marked('queue')} AS html FROM l WHERE contains(lower(content), 'queue')")
 def i_highlight(spark, d):
-    t = lines(spark, d).where(F.col("content").rlike("(?i)queue") & (F.length("content") <= 500))
+    t = lines(spark, d).where(F.lower("content").contains("queue"))
     return unique(t.select("id", text_index.snippet(F.col("content"), "queue").alias("html")))
 
 
-@register("i_highlight_large")
+@register("i_highlight_large", f"SELECT doc_id, {_marked('archive', 'text')} AS html FROM documents WHERE length(text) > 500 AND contains(lower(text), 'archive')")
 def i_highlight_large(spark, d):
     t = table(spark, d, "documents").where((F.length("text") > 500) & F.lower("text").contains("archive"))
     return t.select("doc_id", text_index.snippet(F.col("text"), "archive").alias("html"))
 
 
-@register("i_search_with_highlight", f"WITH {_L} SELECT id, regexp_replace({_ESC}, '(?i)(lease)', '<b>\\1</b>', 'g') AS html FROM l WHERE list_contains({_TOK}, 'lease') AND length(content) <= 500")
+@register("i_search_with_highlight", f"WITH {_L} SELECT id, {_marked('lease')} AS html FROM l WHERE list_contains({_STEMS}, 'lease')")
 def i_search_with_highlight(spark, d):
-    t = lines(spark, d).where(F.array_contains(text_index.tokenize(F.col("content")), "lease") & (F.length("content") <= 500))
-    return unique(t.select("id", text_index.snippet(F.col("content"), "lease").alias("html")))
+    found = token_index(spark, d).multi_keyword(["lease"], True)
+    t = unique(lines(spark, d).where(F.lower("content").contains("leas")).select("id", "content")).join(found, "id", "left_semi")
+    return t.select("id", F.coalesce(text_index.snippet(F.col("content"), "lease"), lf.html_escape(F.col("content"))).alias("html"))
 
 
 @register("i_suggest", "SELECT CAST(NULL AS VARCHAR) AS suggestion WHERE false")
@@ -613,9 +710,14 @@ def j_fts_rowid(spark, d):
     return distinct_files(spark, d).select("id", "parent_archive_id").join(a, "parent_archive_id").select("id", "archive")
 
 
-@register("j_tree", "SELECT 'archive' AS node_kind, id AS node_id, max(parent_archive_id) AS parent_id, max(original_name) AS name FROM archives GROUP BY id UNION ALL SELECT 'file', id, max(parent_archive_id), max(original_name) FROM files GROUP BY id")
+@register("j_tree", """WITH r AS (SELECT 'archive' AS k, id, max(parent_archive_id) AS p, max(original_name) AS n FROM archives GROUP BY id UNION ALL SELECT 'file', id, max(parent_archive_id), max(original_name) FROM files GROUP BY id),
+c AS (SELECT p, count(*) AS n, string_agg(coalesce(n, '-'), '/' ORDER BY k, n NULLS FIRST, id) AS names FROM r WHERE p IS NOT NULL GROUP BY 1)
+SELECT r.k AS node_kind, r.id AS node_id, coalesce(c.n, 0) AS child_count, sha256(coalesce(c.names, '')) AS children FROM r LEFT JOIN c ON c.p = r.id WHERE r.k = 'archive'""")
 def j_tree(spark, d):
-    return fc.tree_rows(table(spark, d, "archives"), table(spark, d, "files")).drop("path")
+    """Each archive with its children in their order (their names by a digest)."""
+    t = fc.tree_levels(fc.tree_rows(table(spark, d, "archives"), table(spark, d, "files")))
+    names = F.array_join(F.transform("child_names", lambda n: F.coalesce(n, F.lit("-"))), "/")
+    return t.select("node_kind", "node_id", "child_count", F.sha2(names, 256).alias("children"))
 
 
 @register("j_children", f"WITH {_F} SELECT parent_archive_id, count(*) AS n, min(virtual_path) AS first_path FROM f WHERE parent_archive_id IS NOT NULL GROUP BY 1")
@@ -642,8 +744,38 @@ def j_dedup_ignore(spark, d):
     return fc.insert_new(f.where(F.col("analysis_status") == "READY").select("sha256_hash", "virtual_path"), new, "sha256_hash")
 
 
-QUERIES["sink_catalog_insert"], ORACLE["sink_catalog_insert"] = QUERIES["j_dedup_ignore"], ORACLE["j_dedup_ignore"]
-QUERIES["sink_catalog_batch"], ORACLE["sink_catalog_batch"] = QUERIES["j_dedup_ignore"], ORACLE["j_dedup_ignore"]
+def _insert(spark: SparkSession, at: str, rows: DataFrame) -> None:
+    """Append the rows whose digest the table at ``at`` hasn't."""
+    fc.insert_new(spark.read.parquet(at), rows, "sha256_hash").write.mode("append").parquet(at)
+
+
+def _catalogue_rows(spark, d) -> DataFrame:
+    f = distinct_files(spark, d).where(F.col("sha256_hash").isNotNull() & F.col("virtual_path").isNotNull())
+    return f.select("sha256_hash", "virtual_path", "analysis_status")
+
+
+_FIRST_PATHS = f"WITH {_F} SELECT sha256_hash, min(virtual_path) AS virtual_path FROM f WHERE sha256_hash IS NOT NULL AND virtual_path IS NOT NULL GROUP BY 1"
+
+
+@register("sink_catalog_insert", _FIRST_PATHS)
+def sink_catalog_insert(spark, d):
+    """A table of catalogue rows, filled once and once more: the second time nothing is new."""
+    at, rows = scratch_path(spark, "catalogue"), _catalogue_rows(spark, d).drop("analysis_status")
+    rows.limit(0).write.parquet(at)
+    _insert(spark, at, rows)
+    _insert(spark, at, rows)
+    return spark.read.parquet(at)
+
+
+@register("sink_catalog_batch", f"WITH {_F}, c AS (SELECT sha256_hash, virtual_path, coalesce(analysis_status = 'READY', false) AS r FROM f WHERE sha256_hash IS NOT NULL AND virtual_path IS NOT NULL) SELECT sha256_hash, CASE WHEN bool_or(r) THEN min(CASE WHEN r THEN virtual_path END) ELSE min(virtual_path) END AS virtual_path FROM c GROUP BY 1")
+def sink_catalog_batch(spark, d):
+    """The same in two batches, READY rows ahead of the rest: what is there stays."""
+    at, rows = scratch_path(spark, "catalogue"), _catalogue_rows(spark, d)
+    ready = F.coalesce(F.col("analysis_status") == "READY", F.lit(False))
+    rows.drop("analysis_status").limit(0).write.parquet(at)
+    for batch in (rows.where(ready), rows.where(~ready)):
+        _insert(spark, at, batch.drop("analysis_status"))
+    return spark.read.parquet(at)
 
 
 @register("j_details_terms", f"WITH {_L} SELECT id, t.keyword FROM l, (VALUES ('timeout', 1), ('damaged', 2)) t(keyword, term_id) WHERE regexp_matches(content, '(?i)' || t.keyword)")
@@ -674,7 +806,12 @@ def a_sum_size(spark, d):
     return fc.totals(distinct_files(spark, d))
 
 
-QUERIES["a_max_depth"], ORACLE["a_max_depth"] = QUERIES["a_sum_size"], ORACLE["a_sum_size"]
+@register("a_max_depth", "SELECT workspace_id, CAST(max(depth_level) AS BIGINT) AS max_depth FROM (SELECT workspace_id, depth_level FROM files UNION ALL SELECT workspace_id, depth_level FROM archives) GROUP BY 1")
+def a_max_depth(spark, d):
+    both = table(spark, d, "files").select("workspace_id", "depth_level").unionByName(table(spark, d, "archives").select("workspace_id", "depth_level"))
+    return both.groupBy("workspace_id").agg(F.max("depth_level").cast("bigint").alias("max_depth"))
+
+
 _STATS = f"SELECT virtual_path, CAST(min(epoch(date_trunc('second', strptime(left(content, 19), '%Y-%m-%d %H:%M:%S')))) AS BIGINT) AS min_timestamp, CAST(max(epoch(strptime(left(content, 19), '%Y-%m-%d %H:%M:%S'))) AS BIGINT) AS max_timestamp, bit_or({_MASK.format(_LV)}) AS level_mask FROM e GROUP BY 1"
 
 
@@ -695,12 +832,17 @@ def a_time_range(spark, d):
     return fc.time_range(unique(table(spark, d, "log_index").select("id", "timestamp")))
 
 
-@register("a_compression", f"WITH {_F} SELECT id, CASE WHEN size = 0 THEN 0.0 ELSE size / 1000.0 END AS ratio, CASE WHEN depth_level = 0 THEN size / 1000.0 ELSE pow(size / 1000.0, depth_level) END AS risk FROM f WHERE size >= 0 AND depth_level BETWEEN 0 AND 3")
+def _digits(x):
+    """Powers to thirteen digits, as far as libraries agree on them."""
+    return F.when(x.isNotNull(), F.format_string("%.12e", x).cast("double"))
+
+
+@register("a_compression", f"WITH {_F} SELECT id, CASE WHEN size = 0 THEN 0.0 ELSE size / 1000.0 END AS ratio, CASE WHEN size = 0 THEN 0.0 WHEN depth_level IS NULL THEN NULL ELSE CAST(printf('%.12e', CASE WHEN depth_level = 0 THEN size / 1000.0 ELSE pow(size / 1000.0, depth_level) END) AS DOUBLE) END AS risk FROM f WHERE size >= 0")
 def a_compression(spark, d):
-    """All files of known size; without a depth the risk is null unless the ratio is 0. The SQL has depths 0 to 3 only."""
+    """All files of known size, risks to thirteen digits; without a depth the risk is null unless the ratio is 0."""
     f = distinct_files(spark, d).where(F.col("size") >= 0)
     r = import_safety.ratio(F.lit(1000), F.col("size"))
-    return f.select("id", r.alias("ratio"), import_safety.risk(r, F.col("depth_level")).alias("risk"))
+    return f.select("id", r.alias("ratio"), _digits(import_safety.risk(r, F.col("depth_level"))).alias("risk"))
 
 
 @register("a_storage_size", "SELECT CAST(sum(s) AS BIGINT) AS bytes FROM (SELECT sha256(text), max(strlen(text)) AS s FROM documents WHERE text IS NOT NULL GROUP BY 1)")
@@ -740,7 +882,11 @@ def a_distinct(spark, d):
     return table(spark, d, "files").select("sha256_hash").distinct()
 
 
-QUERIES["s_dedup_hash"], ORACLE["s_dedup_hash"] = QUERIES["a_distinct"], ORACLE["a_distinct"]
+@register("s_dedup_hash", "SELECT sha256_hash FROM files WHERE sha256_hash IS NOT NULL UNION SELECT sha256_hash FROM archives WHERE sha256_hash IS NOT NULL")
+def s_dedup_hash(spark, d):
+    """The digests of files and archives, each once."""
+    both = table(spark, d, "files").select("sha256_hash").unionByName(table(spark, d, "archives").select("sha256_hash"))
+    return both.where(F.col("sha256_hash").isNotNull()).distinct()
 
 
 @register("s_concat_results", f"WITH {_L}, {_EV} SELECT id, virtual_path FROM l WHERE contains(content, 'ERROR') UNION ALL SELECT id, virtual_path FROM e WHERE contains(content, 'ERROR')")
@@ -750,10 +896,15 @@ def s_concat_results(spark, d):
     return a.unionByName(event_lines(spark, d).where(sq.compile_query(q, F.col("content"))).select("id", "virtual_path"))
 
 
-@register("sink_upsert", "SELECT id, max(created_at) AS created_at FROM archives GROUP BY id")
+@register("sink_upsert", f"WITH {_F}, a AS (SELECT id, max(created_at) AS created_at FROM archives GROUP BY id) SELECT coalesce(a.id, f.id) AS id, coalesce(a.created_at, f.created_at) AS created_at FROM a FULL JOIN f ON f.id = a.id")
 def sink_upsert(spark, d):
+    """A table of files by id, into which the last row of each archive of the same id goes."""
+    at = cut(spark, distinct_files(spark, d).select("id", "created_at"), "upserted")
     a = table(spark, d, "archives").select("id", "created_at")
-    return fc.latest(a, ["id"], [F.col("created_at").alias("_o")]).select("id", "created_at")
+    stage, path = scratch_path(spark, "upsert"), scratch_path(spark, "upserts")
+    fc.merge_rows(at, a, ["id"], [F.col("created_at").alias("_o")]).write.parquet(stage)
+    compaction.replace_path(spark, stage, path)
+    return spark.read.parquet(path)
 
 
 @register("sink_archive_status", "SELECT id, CASE max(CASE extraction_status WHEN 'pending' THEN 0 WHEN 'extracting' THEN 1 WHEN 'failed' THEN 2 WHEN 'completed' THEN 3 END) WHEN 0 THEN 'pending' WHEN 1 THEN 'extracting' WHEN 2 THEN 'failed' WHEN 3 THEN 'completed' END AS status FROM archives GROUP BY id")
@@ -765,13 +916,18 @@ def sink_archive_status(spark, d):
 
 @register("sink_delete", f"WITH {_F} SELECT id FROM f WHERE virtual_path IS NULL OR virtual_path NOT LIKE '/watch/%'")
 def sink_delete(spark, d):
-    return unique(table(spark, d, "files").where(F.col("virtual_path").isNull() | ~F.startswith("virtual_path", F.lit("/watch/"))).select("id"))
+    """A table of files, and what is left of it once the rows under a path are deleted."""
+    path = scratch_path(spark, "catalogue")
+    unique(table(spark, d, "files").select("id", "virtual_path")).write.parquet(path)
+    fc.delete_rows(spark, path, F.startswith("virtual_path", F.lit("/watch/")))
+    return spark.read.parquet(path).select("id")
 
 
-@register("sink_index_add", f"WITH {_EV} SELECT id, CAST(epoch(strptime(left(content, 19), '%Y-%m-%d %H:%M:%S')) AS BIGINT) AS timestamp FROM e")
+@register("sink_index_add", f"WITH {_L}, t AS (SELECT id, unnest({_STEMS}) AS token FROM l WHERE content IS NOT NULL) SELECT token, count(*) AS tf, count(DISTINCT id) AS df FROM t GROUP BY 1")
 def sink_index_add(spark, d):
-    e = event_lines(spark, d)
-    return cut(spark, e.select("id", F.coalesce(lf.time_unix(lf.time_text(F.col("content"))), F.lit(0)).alias("timestamp")), "index")
+    """The postings of the index, added up by token."""
+    p = spark.read.parquet(f"{token_index(spark, d).path}/postings")
+    return p.groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
 @register("sink_result_session", _page_sql(0, 100))
@@ -781,25 +937,33 @@ def sink_result_session(spark, d):
     return s.page("q", 0, 100)[0]
 
 
-@register("sink_session_evict", "SELECT 'b' AS search_id UNION ALL SELECT 'c'")
+@register("sink_session_evict", f"WITH {_EV} SELECT s AS search_id, (SELECT count(*) FROM e WHERE regexp_matches(content, '(?i)error')) AS n FROM (VALUES ('b'), ('c')) t(s)")
 def sink_session_evict(spark, d):
     s = sinks.ResultSessions(spark, capacity=2)
-    r = _event_results(spark, d).drop("id").limit(10)
+    r = _event_results(spark, d).drop("id")
     for k in ("a", "b", "c"):
         s.store(k, r)
-    return spark.createDataFrame([(k,) for k in s.paths], "search_id string")
+    return spark.createDataFrame([(k, s.results(k).count()) for k in s.paths], "search_id string, n bigint")
 
 
-@register("sink_csv", f"WITH {_EV} SELECT id || ',' || left(content, 19) || ',' || {_LV} || ',\"' || virtual_path || '\",' || line || ',\"' || replace(content, '\"', '\"\"') || '\"' AS value FROM e WHERE regexp_matches(content, '(?i)error')")
+@register("sink_csv", f"WITH {_EV} SELECT chr(65279) || 'ID,Timestamp,Level,File,Line,Content' AS value UNION ALL SELECT id || ',' || left(content, 19) || ',' || {_LV} || ',\"' || virtual_path || '\",' || line || ',\"' || replace(content, '\"', '\"\"') || '\"' AS value FROM e WHERE regexp_matches(content, '(?i)error')")
 def sink_csv(spark, d):
-    r = se.search(event_lines(spark, d), "error", details=False)
-    return r.select(sinks.csv_line(r).alias("value"))
+    """The lines of the written document."""
+    at = scratch_path(spark, "csv")
+    sinks.write_csv(se.search(event_lines(spark, d), "error", details=False), at)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(at)  # a text reader takes a mark away
+    return raw.select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("value")).where(F.col("value") != "")
 
 
-@register("sink_json", f"WITH {_EV} SELECT id, virtual_path AS file, line FROM e WHERE regexp_matches(content, '(?i)error')")
+@register("sink_json", f"WITH {_EV}, r AS (SELECT row_number() OVER (ORDER BY virtual_path, line) AS pos, id, virtual_path AS file, line FROM e WHERE regexp_matches(content, '(?i)error')) SELECT pos, id, file, line, (SELECT count(*) FROM r) AS total FROM r")
 def sink_json(spark, d):
-    r = sinks.json_rows(_event_results(spark, d))
-    return r.select(F.from_json("value", "id bigint, file string, line bigint").alias("x")).select("x.*")
+    """The document as it is written: its head's count, and its rows in their order."""
+    at = scratch_path(spark, "json")
+    sinks.write_json(_event_results(spark, d).orderBy("file", "line"), at, "2024-01-01T00:00:00Z")
+    rows = sinks.document_lines(spark, at)
+    head = rows.where(F.col("pos") == 0).select(F.from_json(F.concat("value", F.lit("]}")), "metadata struct<exportTime: string, totalCount: bigint>").alias("h"))
+    r = rows.where((F.col("pos") > 0) & (F.col("value") != "]}")).select("pos", F.from_json(F.ltrim("value", F.lit(",")), "id bigint, file string, line bigint").alias("x"))
+    return r.crossJoin(F.broadcast(head)).select("pos", "x.*", F.col("h.metadata.totalCount").alias("total"))
 
 
 # ---- safety, workspace and small operators ----------------------------------------------------------------------
@@ -810,11 +974,11 @@ def g_ratio(spark, d):
     return f.select("id", import_safety.ratio(F.pmod("id", F.lit(50)), F.col("size")).alias("ratio"))
 
 
-@register("g_risk", f"WITH {_F} SELECT id, CASE WHEN size = 0 THEN 0.0 WHEN depth_level = 0 THEN size / 500.0 ELSE pow(size / 500.0, depth_level) END AS risk FROM f WHERE size >= 0 AND depth_level BETWEEN 0 AND 2")
+@register("g_risk", f"WITH {_F} SELECT id, CASE WHEN size = 0 THEN 0.0 WHEN depth_level IS NULL THEN NULL ELSE CAST(printf('%.12e', CASE WHEN depth_level = 0 THEN size / 500.0 ELSE pow(size / 500.0, depth_level) END) AS DOUBLE) END AS risk FROM f WHERE size >= 0")
 def g_risk(spark, d):
-    """All files of known size; without a depth the risk is null unless the ratio is 0. The SQL has depths 0 to 2 only."""
+    """All files of known size, risks to thirteen digits; without a depth the risk is null unless the ratio is 0."""
     f = distinct_files(spark, d).where(F.col("size") >= 0)
-    return f.select("id", import_safety.risk(import_safety.ratio(F.lit(500), F.col("size")), F.col("depth_level")).alias("risk"))
+    return f.select("id", _digits(import_safety.risk(import_safety.ratio(F.lit(500), F.col("size")), F.col("depth_level"))).alias("risk"))
 
 
 @register("g_halt", f"WITH {_F} SELECT id, CASE WHEN size / 500.0 > 100 THEN 'ratio' WHEN pow(size / 500.0, 3) > 1e6 THEN 'risk' END AS reason FROM f WHERE size > 0")
@@ -851,9 +1015,46 @@ def g_shorten(spark, d):
     return distinct_files(spark, d).where(F.col("virtual_path").isNotNull()).select("id", import_safety.shortened(F.col("virtual_path"), 20).alias("path"))
 
 
-@register("g_inflight", "SELECT DISTINCT virtual_path FROM archives WHERE virtual_path IS NOT NULL")
+@register("g_inflight", "SELECT 5 AS calls, 1 AS runs, (SELECT count(DISTINCT virtual_path) FROM archives) AS result")
 def g_inflight(spark, d):
-    return table(spark, d, "archives").where(F.col("virtual_path").isNotNull()).select("virtual_path").distinct()
+    """Five calls at once for one key are one job, whose result all get."""
+    flight, runs, gate = events.SingleFlight(), [], threading.Barrier(5)
+
+    def job():
+        runs.append(1)
+        time.sleep(1)
+        return table(spark, d, "archives").agg(F.count_distinct("virtual_path")).first()[0]
+
+    def call():
+        gate.wait()
+        return flight.run("paths", job)
+
+    with ThreadPoolExecutor(5) as ex:
+        got = [f.result() for f in [ex.submit(call) for _ in range(5)]]
+    return spark.createDataFrame([(len(got), len(runs), n) for n in set(got)], "calls int, runs int, result bigint")
+
+
+def _retried() -> list[tuple]:
+    """Calls that fail some times before they succeed: outcome, calls and milliseconds waited."""
+    out = []
+    for fails, kind in ((0, OSError), (2, OSError), (9, OSError), (1, KeyError)):
+        calls, waits = [], []
+
+        def f(fails=fails, kind=kind, calls=calls):
+            calls.append(1)
+            if len(calls) <= fails:
+                raise kind("busy")
+            return "done"
+
+        try:
+            got = events.retry(f, 7, sleep=lambda s, waits=waits: waits.append(round(s * 1000)))
+        except Exception as e:  # noqa: BLE001
+            got = type(e).__name__
+        out.append((got, len(calls), sum(waits)))
+    return out
+
+
+_queries_table("g_retry", _retried, "outcome string, calls int, waited_ms int", "SELECT * FROM (VALUES ('done', 1, 0), ('done', 3, 300), ('OSError', 8, 11300), ('KeyError', 1, 0)) t(outcome, calls, waited_ms)")
 
 
 @register("x_ws_status", f"WITH {_F}, s AS (SELECT workspace_id, count(*) AS n, CAST(floor(sum(size) / 1048576) AS BIGINT) AS mb FROM f WHERE size > 0 GROUP BY 1) SELECT workspace_id, n, CASE WHEN mb >= 1024 THEN printf('%.1fGB', mb / 1024) ELSE mb || 'MB' END AS size FROM s")
@@ -881,9 +1082,11 @@ def x_task_ttl(spark, d):
     return e.crossJoin(F.broadcast(last)).where(age < F.when(F.col("event_type") == "error", 1800).otherwise(300)).select("event_id")
 
 
-@register("x_ws_refresh", ORACLE["j_dedup_ignore"])
+@register("x_ws_refresh", f"WITH {_F}, o AS (SELECT virtual_path, max(sha256_hash) AS h FROM f WHERE analysis_status = 'READY' AND virtual_path IS NOT NULL GROUP BY 1), n AS (SELECT virtual_path, max(sha256_hash) AS h FROM f WHERE virtual_path IS NOT NULL GROUP BY 1) SELECT CASE WHEN o.virtual_path IS NULL THEN 'new' WHEN o.h IS NOT DISTINCT FROM n.h THEN 'unchanged' ELSE 'changed' END AS state, count(*) AS n FROM n LEFT JOIN o ON o.virtual_path = n.virtual_path GROUP BY 1")
 def x_ws_refresh(spark, d):
-    return QUERIES["j_dedup_ignore"](spark, d)
+    """What a refresh finds: paths that are new, changed or unchanged against the READY ones."""
+    f = distinct_files(spark, d).where(F.col("virtual_path").isNotNull())
+    return fc.refreshed(f.where(F.col("analysis_status") == "READY"), f).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @register("x_time_default", "SELECT date_trunc('minute', min(ts)) AS a, date_trunc('minute', max(ts)) AS b FROM events")
@@ -904,30 +1107,104 @@ def x_slug(spark, d):
 
 # ---- streaming ---------------------------------------------------------------------------------------------------
 
-def _tailed(spark: SparkSession, steps: list[tuple[str, str]]) -> DataFrame:
-    """What a tail hands out when a file is written in steps (``w`` anew, ``a`` appended)."""
+def _tailed(spark: SparkSession, steps: list[dict[str, tuple[str, str] | None]]) -> DataFrame:
+    """What a tail hands out when files are written in steps, with a restart on its checkpoint after each: of each file
+    a mode (``w`` anew, ``a`` appended) and text, or None where it is removed."""
     at = "/" + scratch_path(spark, "tail").removeprefix("file:").lstrip("/")
     out, marks = scratch_path(spark, "tailed"), scratch_path(spark, "tail-marks")
     os.makedirs(at)
-    for mode, text in steps:
-        with open(f"{at}/app.log", mode) as f:
-            f.write(text)
+    for step in steps:
+        for name, change in step.items():
+            if change is None:
+                os.remove(f"{at}/{name}")
+            else:
+                with open(f"{at}/{name}", change[0]) as f:
+                    f.write(change[1])
         q = tail.append_to(tail.tail(spark, at), out, marks, {"availableNow": True})
         q.awaitTermination()
-    return spark.read.parquet(out).select("line", "content", "level", "ts_text")
+    return spark.read.parquet(out).select(F.element_at(F.split("virtual_path", "/"), -1).alias("file"), "line", "content", "level", "ts_text")
+
 
+def _steps(name: str, steps: list[dict], want: list[tuple]) -> None:
+    """A query over what a tail makes of the steps, and the rows it must give."""
+    rows = ", ".join("(" + ", ".join("'" + v + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in want)
+    register(name, f"SELECT * FROM (VALUES {rows}) t(file, line, content)")(lambda spark, d: _tailed(spark, steps).select("file", "line", "content"))
 
-@register("st_tail")
+
+@register("st_tail", "SELECT * FROM (VALUES (1, '2024-01-01 10:00:00 [INFO] one', 'info', '2024-01-01 10:00:00'), (2, 'two', 'debug', ''), (3, 'partly three', 'debug', ''), (4, '[ERROR] four', 'error', '')) t(line, content, level, ts_text)")
 def st_tail(spark, d):
-    return _tailed(spark, [("w", "2024-01-01 10:00:00 [INFO] one\ntwo\npart"), ("a", "ly three\n[ERROR] four\n")])
+    return _tailed(spark, [{"app.log": ("w", "2024-01-01 10:00:00 [INFO] one\ntwo\npart")}, {"app.log": ("a", "ly three\n[ERROR] four\n")}]).drop("file")
 
 
-@register("st_process")
+@register("st_process", "SELECT * FROM (VALUES (1, '2024-01-01 10:00:00 [WARN] one', 'warn', '2024-01-01 10:00:00'), (2, 'two', 'debug', '')) t(line, content, level, ts_text)")
 def st_process(spark, d):
-    return _tailed(spark, [("w", "2024-01-01 10:00:00 [WARN] one\ntwo\nunfinished")])
+    return _tailed(spark, [{"app.log": ("w", "2024-01-01 10:00:00 [WARN] one\ntwo\nunfinished")}]).drop("file")
 
 
-QUERIES["src_tail"] = QUERIES["st_watch"] = QUERIES["st_state"] = QUERIES["st_offsets"] = QUERIES["st_process"]
+_steps("src_tail", [{"a": ("w", "one\ntwo\nthree\n")}, {"a": ("w", "new\n")}], [("a", 1, "one"), ("a", 2, "two"), ("a", 3, "three"), ("a", 1, "new")])
+_steps("st_watch", [{"a": ("w", "one\n"), "b": ("w", "x\n")}, {"c": ("w", "late\n"), "a": ("a", "two\n")}], [("a", 1, "one"), ("b", 1, "x"), ("c", 1, "late"), ("a", 2, "two")])
+_steps("st_state", [{"a": ("w", "1\n2\n")}, {"a": ("a", "3\n")}, {"a": ("a", "4\n5\n")}], [("a", i, str(i)) for i in range(1, 6)])
+_steps("st_offsets", [{"a": ("w", "1\n2\n")}, {}, {}, {"a": ("a", "3\n")}, {}], [("a", i, str(i)) for i in range(1, 4)])
+_steps("st_remove", [{"a": ("w", "1\n"), "b": ("w", "x\ny\n")}, {"b": None, "a": ("a", "2\n")}, {"a": ("a", "3\n")}], [("a", 1, "1"), ("b", 1, "x"), ("b", 2, "y"), ("a", 2, "2"), ("a", 3, "3")])
+
+
+@register("st_stop", "SELECT false AS active, 2 AS n_lines, 0 AS watches")
+def st_stop(spark, d):
+    """A watch that is stopped: what it has read stays, what comes after isn't read."""
+    at = "/" + scratch_path(spark, "watched").removeprefix("file:").lstrip("/")
+    os.makedirs(at)
+    Path(at, "a.log").write_text("one\ntwo\n")
+    ws = Workspace(spark, scratch_path(spark, "workspace"))
+    w = ws.start_watch(at, processingTime="1 second")
+    q = ws.watches[w]
+    q.processAllAvailable()
+    ws.stop_watch(w)
+    Path(at, "b.log").write_text("three\n")
+    return spark.createDataFrame([(q.isActive, ws.lines.count(), len(ws.watches))], "active boolean, n_lines int, watches int")
+
+
+@register("st_checkpoint", "SELECT * FROM (VALUES ('broken off', 4, 2), ('gone on', 8, 4)) t(step, n_lines, n_files)")
+def st_checkpoint(spark, d):
+    """An import that fails in its second step, and the one that goes on from there."""
+    at = "/" + scratch_path(spark, "source").removeprefix("file:").lstrip("/")
+    os.makedirs(at)
+    for i in range(4):
+        Path(at, f"{i}.log").write_text(f"line {i}\nmore\n")
+    ws, out = Workspace(spark, scratch_path(spark, "workspace")), []
+    for step in ("broken off", "gone on"):
+        put, ws._put = ws._put, (lambda name, df, i, left=iter((1, 1, 1, 1) if step == "broken off" else (1,) * 99): next(left) and Workspace._put(ws, name, df, i))
+        try:
+            ws.import_path(f"file://{at}", step_bytes=20)
+        except StopIteration:
+            pass
+        out.append((step, ws.lines.count(), ws.files.count()))
+    return spark.createDataFrame(out, "step string, n_lines int, n_files int")
+
+
+@register("sink_events", "SELECT * FROM (VALUES ('started', 0), ('updated', 3), ('ended', 0), ('search', 7)) t(kind, n_rows)")
+def sink_events(spark, d):
+    """What a subscriber is told of a stream over three rows, and of a search."""
+    told, publisher = [], events.EventPublisher(spark)
+    publisher.subscribe(lambda kind, about, rows: told.append((kind, about, rows)))
+    at = scratch_path(spark, "events")
+    spark.range(3).coalesce(1).write.parquet(at)
+    q = spark.readStream.schema("id bigint").parquet(at).writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "events-marks")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    until = time.time() + 30
+    while time.time() < until and ("ended", str(q.id)) not in [t[:2] for t in told]:
+        time.sleep(0.1)
+    publisher.publish("search", "s", 7)
+    publisher.close()
+    mine = [(k, n) for k, about, n in told if about in (str(q.id), "s")]
+    return spark.createDataFrame(mine, "kind string, n_rows int")
+
+
+@register("st_debounce", "SELECT time_bucket(INTERVAL 5 SECOND, ts) AS start, count(*) AS n FROM events GROUP BY 1")
+def st_debounce(spark, d):
+    s = spark.readStream.schema(table(spark, d, "events").schema).parquet(_as_folder(spark, d, "events")).select(F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "3650 days")
+    q = events.debounced(s).writeStream.format("memory").queryName("lumberline_updates").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table("lumberline_updates").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @register("st_window")
@@ -948,9 +1225,6 @@ def _as_folder(spark: SparkSession, d: str, name: str) -> str:
     return at
 
 
-QUERIES["src_mmap"] = QUERIES["src_cas_read"]
-
-
 @register("a_search_stats", f"WITH {_L}, q AS (SELECT 'cache' AS query, count(*) AS n FROM l WHERE regexp_matches(content, '(?i)cache') UNION ALL SELECT 'queue', count(*) FROM l WHERE regexp_matches(content, '(?i)queue')) SELECT count(*) AS searches, CAST(sum(n) AS BIGINT) AS results, avg(n) AS mean FROM q")
 def a_search_stats(spark, d):
     hits = F.array_compact(F.array(*[F.when(sq.compile_query(query(term(w)), F.col("content")), w) for w in ("cache", "queue")]))

@@ -192,6 +192,7 @@ def read_archives(spark: SparkSession, path: str, limits: Limits = Limits(), glo
 def read_directory(spark: SparkSession, path: str, max_depth: int | None = None) -> DataFrame:
     """Plain files under a directory: ``virtual_path, size, modified_time, sha256_hash, content``, to a depth if given."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    rel = F.regexp_replace(F.col("path"), "^.*?" + re.escape(path.rstrip("/").split(":")[-1]) + "/", "")
+    base = "/" + path.rstrip("/").split(":")[-1].lstrip("/")
+    rel = F.regexp_replace(F.col("path"), "^.*?" + re.escape(base) + "/", "")
     d = d.select(rel.alias("virtual_path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("modified_time"), F.sha2("content", 256).alias("sha256_hash"), "content")
     return d if max_depth is None else d.where(F.size(F.split("virtual_path", "/")) <= max_depth)

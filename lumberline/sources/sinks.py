@@ -111,3 +111,8 @@ def new_objects(contents: DataFrame, stored: DataFrame | None = None) -> DataFra
     d = contents.select(F.sha2("content", 256).alias("sha256_hash"), "content").dropDuplicates(["sha256_hash"])
     d = d.withColumn("object", object_path(F.col("sha256_hash")))
     return d if stored is None else d.join(stored.select("sha256_hash"), "sha256_hash", "left_anti")
+
+
+def read_objects(names: DataFrame, objects: DataFrame) -> DataFrame:
+    """``names`` (with ``sha256_hash``) with the ``content`` of the objects they name."""
+    return names.join(objects.select("sha256_hash", "content"), "sha256_hash")
