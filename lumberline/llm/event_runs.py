@@ -19,10 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumberline.operators.log_entries import BLOCK, BLOCK_BITS, _timed, block_years, is_head, parse_lines
-from lumberline.session import cut
-
-#: Tables of one row for each block of a long file are broadcast up to so many rows (under 20 MB), joined beyond.
-BROADCAST_ROWS = 50_000
+from lumberline.session import BROADCAST_BYTES, cut
 
 _ASCII_WS = "\\t-\\r\\x1c-\\x20"
 _WS = _ASCII_WS + "\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -91,7 +88,10 @@ def _key(d: DataFrame) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A written table of a row for each block of the long files: broadcast while its rows as text are within
+    ``BROADCAST_BYTES``, joined by an exchange beyond."""
+    size = df.select(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("n")).first().n
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
 
 
 def _crossings(lines: DataFrame, long_files: DataFrame, years: DataFrame | None) -> DataFrame:
@@ -106,7 +106,7 @@ def _crossings(lines: DataFrame, long_files: DataFrame, years: DataFrame | None)
     per = per.withColumn("s", F.sum("t").over(upto))
     per = per.withColumn("owner", F.last("h", ignorenulls=True).over(ahead)).withColumn("_o", F.last(F.when(F.col("h").isNotNull(), F.col("e") - F.col("s")), ignorenulls=True).over(ahead))
     owners = per.select(*_FB, "owner", (F.col("_o") + F.col("s") - F.col("t")).alias("n0")).where(F.col("owner").isNotNull())
-    carried = keyed.where(F.col("head").isNull() & (F.col("blk") > 0)).join(_small(owners), [*_FB])
+    carried = keyed.where(F.col("head").isNull() & (F.col("blk") > 0)).join(_small(cut(spark, owners, "runs-owners")), [*_FB])
     tails = carried.groupBy("file_path", F.shiftright("owner", BLOCK_BITS).alias("blk")).agg(
         F.bit_xor(_mark(F.col("core"), F.col("n0") + F.col("n"))).alias("t_sig"),
         F.max("line_number").alias("t_last"),
@@ -151,7 +151,7 @@ def event_runs(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     entries; without ``files``, where no times are wanted, it is 1970.
     """
     ends = lines.where(F.col("file_path").isNotNull()).groupBy("file_path").agg(F.max("line_number").alias("_m"))
-    long_files = ends.where(F.col("_m") >= BLOCK).select("file_path")
+    long_files = cut(lines.sparkSession, ends.where(F.col("_m") >= BLOCK).select("file_path"), "runs-long")
     years = None if files is None else block_years(lines, files)
     e = _block_entries(_keyed(lines), years)
     w = Window.partitionBy(*_FB).orderBy("first_line")
