@@ -112,9 +112,9 @@ def html_escape(text: Column) -> Column:
 
 
 def _decoded(raw: bytes) -> tuple[str, str]:
-    """Text and encoding of bytes that are no UTF-8."""
+    """Text and encoding of bytes that are no UTF-8; a U+FFFD that the bytes have themselves is no replacement."""
     text = raw.decode("utf-8", "replace")
-    if text.count("\ufffd") > 0.3 * len(text):
+    if text.count("\ufffd") - raw.count(b"\xef\xbf\xbd") > 0.3 * len(text):
         for codec, label in (("gbk", "GBK"), ("cp1252", "Windows-1252")):
             try:
                 return raw.decode(codec), label

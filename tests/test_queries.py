@@ -44,6 +44,17 @@ def test_same_as_sql(spark, db, name):
     assert rows(got) == rows(want)
 
 
+def test_names_with_replacement_characters(spark, tmp_path):
+    """Names that have U+FFFD themselves, of any share and length, come out as in SQL."""
+    names = [None, "", "a", "\ufffd", "\ufffd\ufffd", "\ufffd" * 3, "\ufffd" * 40, "\ufffd" * 12 + " (0).log.1", "gr\ufffd\ufffde.json", "a\ufffd\ufffd", "世界\ufffd", "😀\ufffd😀", "app.log"]
+    files = pd.DataFrame({"id": range(len(names)), "original_name": pd.Series(names, dtype="str")})
+    pd.concat([files, files]).to_parquet(tmp_path / "files.parquet")
+    got = catalogue.QUERIES["prj_decode_name"](spark, str(tmp_path)).toPandas()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW files AS SELECT * FROM '{tmp_path}/files.parquet'")
+    assert rows(got) == rows(c.execute(catalogue.ORACLE["prj_decode_name"]).df()) and len(got) == len(names)
+
+
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).columns == ["id", "file", "line", "content", "timestamp", "level"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -134,5 +134,13 @@ def test_decode(spark):
     assert got[:4] == [("Hello 世界", "UTF-8"), ("你好", "GBK"), ("", "UTF-8"), ("long enough text �", "UTF-8-Lossy")]
 
 
+def test_decode_counts_only_replacements(spark):
+    """A U+FFFD of the text itself doesn't speak for another encoding; bytes that are wrong beside it do."""
+    own = "\ufffd" * 12
+    d = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate((own.encode() + b".log\xff", own.encode(), own.encode() + b"\xe9\xff" * 9))], "i int, b binary")
+    got = {r.i: tuple(r.x) for r in lf.decode_column(d, "b", "x").collect()}
+    assert got == {0: (own + ".log\ufffd", "UTF-8-Lossy"), 1: (own, "UTF-8"), 2: ("ï¿½" * 12 + "éÿ" * 9, "Windows-1252")}
+
+
 def test_safe_names():
     assert archives.safe_name("a/./b\\c.log") == "a/b/c.log" and archives.safe_name("a/../b") is None
